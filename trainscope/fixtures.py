@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer files than cores, spread over the cores before its rows are expanded."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def as_utc(column: str):
     """Source times carry no zone and mean UTC."""
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({column} as timestamp_ntz))"))
@@ -51,7 +57,7 @@ def log_lines_of(events: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_of(table(spark, sf_dir, "events"))
+    return log_lines_of(spread(table(spark, sf_dir, "events"), "event_id"))
 
 
 def event_store_of(events: DataFrame) -> DataFrame:
@@ -87,7 +93,8 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     node_no = "(o_orderkey % 8)"
     # On node 7 some processes end before the last sample.
     lives = F.expr(f"explode(sequence(0, case when {node_no} = 7 and o_orderkey % 100 = 7 then 3 else 4 end))")
-    base = (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", lives.alias("snapshot_no"))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    base = (orders.select("o_orderkey", "o_custkey", lives.alias("snapshot_no"))
             .withColumn("node", F.expr(f"concat('node', {node_no})"))
             .withColumn("rank_no", F.expr("(o_orderkey div 512) % 64")))
     # On node 6 some restart under a new pid in sample 3, on node 5 some change rank in sample 2.
@@ -99,15 +106,23 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         1 + o_custkey % 3 - case when snapshot_no = 3 and o_orderkey % 29 = 0 and o_custkey % 3 > 0 then 1 else 0 end""")
     base = base.select("o_orderkey", "o_custkey", "snapshot_no", "node", "rank_no", pid.alias("pid"), rank.alias("rank"),
                        threads.cast("int").alias("n_threads"))
-    stacks = F.expr("""
-        transform(sequence(1, n_threads), t -> named_struct(
-          'thread_id', cast(t + case when snapshot_no = 1 and o_orderkey % 37 = 0 and t = n_threads then 100 else 0 end as int),
-          'thread_name', concat('thread-', t),
-          'stack_frames', transform(
-            sequence(1, 4 - case when snapshot_no = 2 and t = 1 and o_orderkey % 31 = 0 then 1 else 0 end), k -> concat(
-              case when snapshot_no = 4 and o_orderkey % 41 = 0 then 'FILE' else 'File' end,
-              ' "mod', (o_custkey + k) % 97, '.py", line ',
-              k * 10 + case when k = 3 and o_orderkey % 11 = 0 then snapshot_no else 0 end, ', in f'))))""")
+    key, cust, sample = F.col("o_orderkey"), F.col("o_custkey"), F.col("snapshot_no")
+    word = F.when((sample == 4) & (key % 41 == 0), "FILE").otherwise("File")
+
+    def frame(k: int):
+        moved = F.when(key % 11 == 0, sample).otherwise(0) if k == 3 else F.lit(0)
+        return F.concat(word, F.lit(' "mod'), (cust + k) % 97, F.lit('.py", line '), moved + k * 10, F.lit(", in f"))
+
+    def thread(t: int):
+        other_id = (sample == 1) & (key % 37 == 0) & (F.col("n_threads") == t)
+        frames = F.col("frames")
+        if t == 1:
+            frames = F.when((sample == 2) & (key % 31 == 0), F.slice(frames, 1, 3)).otherwise(frames)
+        return F.struct((F.lit(t) + F.when(other_id, 100).otherwise(0)).alias("thread_id"),
+                        F.lit(f"thread-{t}").alias("thread_name"), frames.alias("stack_frames"))
+
+    base = base.withColumn("frames", F.array(*[frame(k) for k in range(1, 5)]))
+    stacks = F.slice(F.array(*[thread(t) for t in range(1, 4)]), F.lit(1), F.col("n_threads"))
     ordered = F.when(F.col("snapshot_no") % 2 == 1, F.reverse("stacks")).otherwise(F.col("stacks"))
     clock = F.concat(F.lit("2024-01-31 00:00:"), F.lpad((F.col("snapshot_no") * 5).cast("string"), 2, "0"))
     return base.withColumn("stacks", stacks).select(
@@ -117,16 +132,25 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stack dump per order: a note before the first header, then threads, frames and code lines."""
-    return table(spark, sf_dir, "orders").select(
-        F.expr("concat('node', o_orderkey % 8)").alias("node"), F.col("o_orderkey").alias("pid"), F.expr("""
-        concat('The frame stack for thread 1 is empty\n    (Python) File "early.py", line 1, in f\n',
-          array_join(transform(sequence(1, cast(1 + o_custkey % 3 as int)), t -> concat(
-            'Traceback for thread ', case when o_orderkey % 13 = 0 and t = 2 then 'x' else cast(t as string) end,
-            ' (', o_orderpriority, ') [] (most recent call last):\n',
-            case when o_orderkey % 7 = 0 then '    orphan code\n' else '' end,
-            array_join(transform(sequence(1, 4), k -> concat(
-              '    (Python) File "mod', (o_custkey + k) % 97, '.py", line ', k * 10, ', in f\n',
-              case when k % 2 = 0 then '        call(a, b)\n\n' else '        x = 1\n        y = 2\n' end)), ''))), '\n'))""").alias("dump"))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+
+    def frame(k: int) -> list:
+        code = "        call(a, b)\n\n" if k % 2 == 0 else "        x = 1\n        y = 2\n"
+        return [F.lit('    (Python) File "mod'), (cust + k) % 97, F.lit(f'.py", line {k * 10}, in f\n{code}')]
+
+    def thread(t: int):
+        name = F.when(key % 13 == 0, "x").otherwise("2") if t == 2 else F.lit(str(t))
+        orphan = F.when(key % 7 == 0, "    orphan code\n").otherwise("")
+        text = F.concat(F.lit("Traceback for thread "), name, F.lit(" ("), "o_orderpriority",
+                        F.lit(") [] (most recent call last):\n"), orphan, "body")
+        return F.when(cust % 3 >= t - 1, text)
+
+    note = 'The frame stack for thread 1 is empty\n    (Python) File "early.py", line 1, in f\n'
+    body = F.concat(*[part for k in range(1, 5) for part in frame(k)])
+    dump = F.concat(F.lit(note), F.concat_ws("\n", *[thread(t) for t in range(1, 4)]))
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    return (orders.withColumn("body", body)
+            .select(F.concat(F.lit("node"), key % 8).alias("node"), key.alias("pid"), dump.alias("dump")))
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +221,8 @@ def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
            .when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16"))
            .otherwise(F.concat(utf8, F.unhex(F.lit("FF")), utf8)))
-    return table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", raw.alias("raw"))
 
 
 def range_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

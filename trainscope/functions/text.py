@@ -5,16 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trainscope.schemas import LOG_TIME, NODE_LIST
+from trainscope.schemas import LOG_TIME, NODE_LIST, WHITE_SPACE
 
 
 def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def trim_rest(blank_trimmed: Column) -> Column:
+    """White space left around text already trimmed of blanks.
+
+    Nearly all text then begins and ends with printable ASCII; only the rest
+    goes through the slower trim with a list of characters.
+    """
+    last = F.right(blank_trimmed, F.lit(1))
+    plain = (blank_trimmed >= "!") & (blank_trimmed < "\x7f") & (last >= "!") & (last < "\x7f")
+    return F.when(plain, blank_trimmed).otherwise(F.trim(blank_trimmed, F.lit(WHITE_SPACE)))
+
+
 def trim_space(value: Column | str) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
-    return F.regexp_replace(_c(value), r"(?U)\A\s+|(?<!\s)\s+\z", "")
+    return trim_rest(F.trim(_c(value)))
+
+
+def digits_to_bigint(digits: Column) -> Column:
+    """A run of digits as bigint; NULL if empty or too large.
+
+    A failing ``try_cast`` raises and catches an error per row, so it only sees
+    runs that may be too large.
+    """
+    return (F.when(digits == "", F.lit(None)).when(F.length(digits) <= 18, digits.cast("bigint"))
+            .otherwise(digits.try_cast("bigint")))
+
+
+def text_to_int(text: Column) -> Column:
+    """A whole number as int; NULL for any other text.  Empty text takes the quick way."""
+    return F.when(text != "", F.when(text.rlike(r"\A-?\d{1,9}\z"), text.cast("int")).otherwise(text.try_cast("int")))
 
 
 def wrap_int32(number: Column) -> Column:
@@ -24,8 +50,7 @@ def wrap_int32(number: Column) -> Column:
 
 def extract_number(value: Column | str) -> Column:
     """First run of digits as bigint; NULL where there is none or it is too large."""
-    digits = F.regexp_extract(_c(value), r"\d+", 0)
-    return F.when(digits != "", digits).try_cast("bigint")
+    return digits_to_bigint(F.regexp_extract(_c(value), r"\d+", 0))
 
 
 def compare_rank(left: Column | str, right: Column | str) -> Column:
@@ -69,7 +94,8 @@ def extract_nodes(value: Column | str) -> Column:
     text = _c(value)
     inner = F.regexp_extract(text, NODE_LIST, 1)
     bare = F.regexp_replace(inner, r"'|\\[ntr]|\n| ", "")
-    names = F.filter(F.transform(F.split(bare, ","), trim_space), lambda n: n != "")
+    trimmed = F.transform(F.transform(F.split(bare, ","), lambda n: F.trim(n)), lambda n: trim_rest(n))
+    names = F.filter(trimmed, lambda n: n != "")
     hosts = F.transform(names, lambda n: F.regexp_replace(n, r"(?s)\A[^:]*:", ""))
     return F.when(text.rlike(NODE_LIST), hosts)
 

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trainscope.functions.logs import log_entry
+from trainscope.functions.logs import entry_fields, line_head
 from trainscope.functions.text import clean_utf8, extract_number, format_rfc3339, rank_label
 from trainscope.operators.skew import spread_join, top_n
 from trainscope.schemas import (
@@ -44,8 +44,12 @@ def parse_log_lines(lines: DataFrame, zone: str | None = None, accept_short: boo
     Run this after ``tail_lines``: only the surviving lines are then parsed.
     ``keep_bad_time`` leaves dropped lines in, marked by ``kept = false``.
     """
-    entry = log_entry("line", zone, accept_short)
-    parsed = lines.withColumn("_e", entry).select(*[c for c in lines.columns if c != "line"], "_e.*")
+    # The head is a column of its own, so its match is not repeated per field.
+    headed = lines.withColumn("_head", line_head("line"))
+    fields = entry_fields(F.col("line"), F.col("_head"), zone, accept_short)
+    kept = (F.col("_head") == "") | F.col("ts").isNotNull()
+    parsed = (headed.select(*lines.columns, "_head", *[c.alias(name) for name, c in fields.items()])
+              .withColumn("kept", kept).drop("_head", "line"))
     return parsed if keep_bad_time else parsed.filter("kept").drop("kept")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainscope.functions.stacks import process_type
-from trainscope.functions.text import environ_value, rank_label
+from trainscope.functions.text import environ_value, rank_label, text_to_int
 from trainscope.operators.skew import spread_join
 
 
@@ -25,8 +25,8 @@ def process_tree(procs: DataFrame) -> DataFrame:
     """
     ranked = procs.withColumn("rank", environ_value("environ", "RANK")).filter("rank <> ''")
     trainers = (spread_join(ranked, launchers(procs, "torchrun"), ["node", "ppid"], ["pid"])
-                .select("node", "pid", "ppid", F.col("rank").try_cast("int").alias("rank"),
-                        environ_value("environ", "LOCAL_RANK").try_cast("int").alias("local_rank")))
+                .select("node", "pid", "ppid", text_to_int(F.col("rank")).alias("rank"),
+                        text_to_int(environ_value("environ", "LOCAL_RANK")).alias("local_rank")))
     parents = trainers.select("node", F.col("pid").alias("ppid"), "rank", "local_rank")
     workers = (procs.filter(F.col("name") == "pt_data_worker").select("node", "pid", "ppid")
                .join(parents, ["node", "ppid"]))
@@ -39,7 +39,7 @@ def rank_range(procs: DataFrame) -> DataFrame:
     """Lowest and highest rank under the first launcher of each node."""
     first = launchers(procs, "torchrun|distributed.launch").groupBy("node").agg(F.min("ppid").alias("ppid"))
     rank = environ_value("environ", "RANK")
-    ranked = procs.withColumn("rank_no", F.when(rank.rlike(r"\A[0-9]+\z"), rank).try_cast("int"))
+    ranked = procs.withColumn("rank_no", F.when(rank.rlike(r"\A[0-9]+\z"), text_to_int(rank)))
     children = spread_join(ranked.filter("rank_no is not null").select("node", "pid", "ppid", "rank_no"),
                            first, ["node", "ppid"], ["pid"])
     return children.groupBy("node").agg(F.min("rank_no").alias("min_rank"), F.max("rank_no").alias("max_rank"))

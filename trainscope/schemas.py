@@ -36,12 +36,16 @@ METRICS_INTERVAL = "15 seconds"
 LATENCY_BUCKETS = ("0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1", "2.5", "5", "10")
 
 # --- Fixed values: text patterns ---------------------------------------------
-LOG_LINE = r"(?s)\[([^\]]+)\]\[RANK (\d+)\]\[([^\]]+)\]\[([^\]]+)\] (.*)"
+# Name, rank, time and level of a log line; the message body follows.
+LOG_HEAD = r"\[[^\]]+\]\[RANK \d+\]\[[^\]]+\]\[[^\]]+\] "
 LOG_EPOCH = r"\[Train\] \(Epoch (\d+)\)"
 LOG_TIME = r"\A(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))?\z"
 THREAD_START = "Traceback for thread"
+# Every character of the Unicode White_Space property.
+WHITE_SPACE = ("\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 THREAD_HEADER = r"(?s)Traceback for thread (\d+) \((.*?)\)"
-FRAME_MARK = "(Python) File"
+FRAME_LANGUAGE = "(Python) "
 NODE_LIST = r"nodes=\[([^\]]*?)\]"
 RANK_FILE = r"/rank(\d+)\.log$"
 
