@@ -155,7 +155,8 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One launcher per node; each order is a trainer or a data worker."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("cast(o_orderkey % 8 as int)").alias("node_no"))
+    orders = (spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+              .select("o_orderkey", F.expr("cast(o_orderkey % 8 as int)").alias("node_no")))
     worker = F.col("o_orderkey") % 5 == 0
     environ = F.when(F.col("o_orderkey") % 37 == 0, F.lit("HOME=/root\0LOCAL_RANK=1")).otherwise(F.concat(
         F.lit("HOME=/root\0RANK="), F.col("o_orderkey"), F.lit("\0LOCAL_RANK="), F.col("o_orderkey") % 8, F.lit("\0")))

@@ -34,7 +34,7 @@ def read_event_files(spark: SparkSession, base: str, node_rank: int | str | None
 
 
 def rejected_event_files(spark: SparkSession, base: str, node_rank: int | str | None = None) -> DataFrame:
-    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null")
+    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null and events is null")
     return bad.select("path", F.col("_corrupt_record").alias("content"))
 
 

@@ -34,10 +34,14 @@ def read_rank_logs(spark: SparkSession, run_dir: str | list[str], node: Column |
 
 
 def list_rank_files(spark: SparkSession, run_dir: str | list[str], node: Column | str | None = None) -> DataFrame:
-    """The log files themselves, empty ones too; contents are not read."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "rank*.log")
-             .option("recursiveFileLookup", "true").load(run_dir)
-             .select("path", "length", F.col("modificationTime").alias("file_mtime")))
+    """The log files themselves, empty ones too.
+
+    A scan skips empty files, so the names come from Spark's file index, which
+    the driver holds for any read of the folder.
+    """
+    names = (spark.read.option("pathGlobFilter", "rank*.log").option("recursiveFileLookup", "true")
+             .text(run_dir).inputFiles())
+    files = spark.createDataFrame([(name,) for name in names], "path string")
     number = F.regexp_extract("path", RANK_FILE, 1)
     return (files.withColumn("rank_no", F.when(number != "", number).try_cast("int")).filter("rank_no is not null")
             .withColumn("rank", rank_label("rank_no"))

@@ -38,7 +38,7 @@ def read_process_snapshots(spark: SparkSession, path: str) -> DataFrame:
     processes, or a list of such lists.  ``snapshot_no`` counts the samples of a
     file.  Each file is the saved answer of one node, so it fits one row.
     """
-    files = (spark.read.option("wholetext", "true").text(path)
+    files = (spark.read.text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), "value"))
     # Between the end of one document and the start of the next there is no comma.
     pieces = F.split(F.trim("value"), r"(?<=[}\]])\s*\n\s*(?=[{\[])")

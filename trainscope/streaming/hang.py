@@ -13,9 +13,9 @@ def stream_hang_detection(lines: DataFrame, threshold: int = DEFAULT_HANG_SECOND
                           lateness: str = "0 seconds", heartbeat: DataFrame | None = None) -> DataFrame:
     """One row each time a rank has been silent for more than ``threshold`` seconds.
 
-    A rank's lines form a session that ends after ``threshold + 1`` seconds
-    without a line, since silence is measured in whole seconds and must exceed
-    the threshold.  In append mode the session is sent out once the watermark
+    Silence is measured in whole seconds and must exceed the threshold, so lines
+    less than ``threshold + 1`` seconds apart form one session; sessions that
+    just touch are merged, hence the missing microsecond.  In append mode the session is sent out once the watermark
     has passed its end.  ``heartbeat`` is a stream with a ``ts`` column that
     moves the watermark when every rank is silent; it adds no rows.
     """
@@ -27,7 +27,7 @@ def stream_hang_detection(lines: DataFrame, threshold: int = DEFAULT_HANG_SECOND
         beat = heartbeat.select(F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("rank"),
                                 F.col("ts"), F.lit(0).alias("spoke"))
         spoken = spoken.unionByName(beat)
-    session = F.session_window("ts", f"{threshold + 1} seconds")
+    session = F.session_window("ts", f"{threshold} seconds 999999 microseconds")
     # The test is on a sum, not on the rank, so it cannot move below the watermark.
     return (spoken.withWatermark("ts", lateness).groupBy("node", "rank", session)
             .agg(F.max("ts").alias("last_line"), F.sum("spoke").alias("lines"))
