@@ -12,35 +12,29 @@ def values(spark, expr, rows, kind="string"):
 
 
 def test_extract_number(spark):
-    rows = ["rank123", "abc456def", "123abc", "abc123", "123", "rank-123", "rank123test456",
-            "rank", "", "abc", "rank123.45", "9" * 30]
-    assert values(spark, text.extract_number, rows) == [
-        123, 456, 123, 123, 123, 123, 123, None, None, None, 123, None]
+    cases = {"RANK7": 7, "7 of 9": 7, "v-12": 12, "3.25": 3, "007": 7, "none": None, "": None, "9" * 30: None,
+             "x" + "9" * 18: 10**18 - 1, "9223372036854775807": 2**63 - 1}
+    assert values(spark, text.extract_number, list(cases)) == list(cases.values())
 
 
 def test_compare_rank(spark):
-    cases = [("rank1", "rank2", -1), ("rank2", "rank1", 1), ("rank10", "rank2", 1), ("rank1", "rank1", 0),
-             ("abc123", "def123", 0), ("abc123", "def456", -1), ("123abc", "456def", -1),
-             ("rank-1", "rank-2", -1), ("rank1.5", "rank1", 0), ("rank1a", "rank1b", 0),
-             ("rank1a", "rank10b", -1), ("rank", "rank1", 0), ("rank1", "rank", 0), ("rank", "rank", 0),
-             ("", "rank1", 0), ("rank1", "", 0), ("", "", 0)]
+    cases = [("RANK2", "RANK10", -1), ("RANK10", "RANK2", 1), ("a5", "b5", 0), ("r-3", "r-4", -1), ("8.9", "8.1", 0),
+             ("6x", "60y", -1), ("x", "RANK1", 0), ("RANK1", "x", 0), ("x", "y", 0), ("", "RANK1", 0), ("", "", 0)]
     df = spark.createDataFrame(cases, "a string, b string, want int")
     assert df.filter(text.compare_rank("a", "b") != F.col("want")).count() == 0
 
 
 def test_extract_nodes(spark):
-    rows = [
-        "some prefix nodes=['node1:host1', 'node2:host2', 'node3'] some suffix",
-        "result nodes=[] completed",
-        "nodes=[\n\t\t\t\t'nodeA:hostA', \n\t\t\t\t'nodeB:hostB',\n\t\t\t\t'nodeC'\n\t\t\t] more content",
-        "nodes=['a:host a',  'b:hostb',  'c:host\\nc'  ]",
-        "nodes=[node1, node2, node3]",
-        "this is a test with no nodes",
-        "nodes=[a:b:c,,,x:]",
-    ]
-    assert values(spark, text.extract_nodes, rows) == [
-        ["host1", "host2", "node3"], [], ["hostA", "hostB", "nodeC"], ["hosta", "hostb", "hostc"],
-        ["node1", "node2", "node3"], None, ["b:c", ""]]
+    cases = {
+        "job=7 nodes=['w0:gpu-a', 'w1:gpu-b', 'gpu-c'] state=up": ["gpu-a", "gpu-b", "gpu-c"],
+        "nodes=[] state=up": [],
+        "nodes=[\n\t'w0:gpu-a',\n\t 'gpu-b'\n\t]": ["gpu-a", "gpu-b"],
+        "nodes=['w0:gpu a', 'w1:gpu\\nb',, 'w2:gpu\\tc' ]": ["gpua", "gpub", "gpuc"],
+        "nodes=[gpu-a,gpu-b] nodes=[gpu-c]": ["gpu-a", "gpu-b"],
+        "nodes=[a:b:c,,,x:]": ["b:c", ""],
+        "no list here": None,
+    }
+    assert values(spark, text.extract_nodes, list(cases)) == list(cases.values())
 
 
 def test_parse_rank_range(spark):
@@ -76,54 +70,49 @@ def test_time_bound(spark):
     assert got == [base, base - 8 * 3600, base, None, None]
 
 
-LINE = "[XTuner][RANK 15][2025-07-11 02:32:52][INFO] Gradient Accumulation: 4, Compile: True, CPU Offload: False"
+LINE = "[Job][RANK 3][2025-07-11 02:32:52][INFO] accumulation 4, compile on"
 
 
 def test_log_entry(spark):
-    rows = ["dsaljflkdjafljadslfj", LINE, "[a][RANK 1][2025-99-11 02:32:52][LOG_INFO] x",
+    rows = ["only words", LINE, "[a][RANK 1][2025-99-11 02:32:52][LOG_INFO] x",
             "pre [a][RANK 1][2025-07-11 02:32:52][LOG_ERROR] z [Train] (Epoch 12) y",
             "[a][RANK 1][2025-07-11 02:32:52][LOG_ERROR] [Train] (Epoch 4294967297) y",
-            "[a][RANK 1][2025-07-11 02:32:52][LOG_ERROR] [Train] (Epoch 99999999999999999999) y"]
+            "[a][RANK 1][2025-07-11 02:32:52][LOG_ERROR] [Train] (Epoch 99999999999999999999) y",
+            "[[a][RANK 1][2025-07-11 02:32:52][LOG_DEBUG] ", "words [Train] (Epoch 3)",
+            "[a][RANK 1][2025-07-11 02:32:52][LOG_INFO]no blank"]
     got = values(spark, logs.log_entry, rows)
     assert [(g.kept, g.ts is not None, g.level, g.epoch) for g in got] == [
         (True, False, 0, 0), (True, True, 0, 0), (False, False, 2, 0), (True, True, 4, 12),
-        (True, True, 4, 1), (True, True, 4, -1)]
+        (True, True, 4, 1), (True, True, 4, -1), (True, True, 1, 0), (True, False, 0, 0), (True, False, 0, 0)]
     assert [g.message for g in got] == rows
     short = values(spark, lambda c: logs.log_entry(c, accept_short=True), [LINE])
     assert short[0].level == 2
 
 
-DUMP = """The frame stack for thread 2846 is empty
-Traceback for thread 2843 (pt_autograd_0) [] (most recent call last):
-    (Python) File "/usr/local/lib/python3.12/dist-packages/torch/autograd/function.py", line 307, in apply
-        return user_fn(self, *args)
-    (Python) File "/tmp/torchinductor_root/yy/asdhjfkjahdkfhakjhfdkj.py", line 101, in call
-        buf0.copy_(primals_2, False)
+DUMP = """The frame stack for thread 9 is empty
+Traceback for thread 81 (loader) [] (most recent call last):
+    (Python) File "/opt/job/load.py", line 12, in fetch
+        return queue.get(block)
+    (Python) File "/opt/job/queue.py", line 40, in get
+        self.ready.wait()
 
-Traceback for thread 1654 (python) [] (most recent call last):
-    (Python) File "/usr/lib/python3.12/threading.py", line 1030, in _bootstrap
-        self._bootstrap_inner()
-    (Python) File "/usr/lib/python3.12/threading.py", line 1010, in run
-        self._target(*self._args, **self._kwargs)
-    (Python) File "/usr/lib/python3.12/threading.py", line 355, in wait
-        waiter.acquire()"""
+Traceback for thread 80 (main) [] (most recent call last):
+    (Python) File "/opt/job/train.py", line 5, in <module>
+        main(parse())
+    (Python) File "/opt/job/train.py", line 77, in step
+        loss.backward()"""
 
 
 def plain(threads):
     return [(t.thread_id, t.thread_name, list(t.stack_frames)) for t in threads]
 
 
-def test_stack_dump_golden(spark):
-    got = plain(values(spark, stacks.parse_stack_dump, [DUMP])[0])
-    lib = 'File "/usr/lib/python3.12/threading.py"'
-    assert got == [
-        (2843, "pt_autograd_0", [
-            'File "/usr/local/lib/python3.12/dist-packages/torch/autograd/function.py", line 307, in apply\nreturn user_fn(self, *args)',
-            'File "/tmp/torchinductor_root/yy/asdhjfkjahdkfhakjhfdkj.py", line 101, in call\nbuf0.copy_(primals_2, False)']),
-        (1654, "python", [
-            f"{lib}, line 1030, in _bootstrap\nself._bootstrap_inner()",
-            f"{lib}, line 1010, in run\nself._target(*self._args, **self._kwargs)",
-            f"{lib}, line 355, in wait\nwaiter.acquire()"])]
+def test_stack_dump(spark):
+    assert plain(values(spark, stacks.parse_stack_dump, [DUMP])[0]) == [
+        (81, "loader", ['File "/opt/job/load.py", line 12, in fetch\nreturn queue.get(block)',
+                        'File "/opt/job/queue.py", line 40, in get\nself.ready.wait()']),
+        (80, "main", ['File "/opt/job/train.py", line 5, in <module>\nmain(parse())',
+                      'File "/opt/job/train.py", line 77, in step\nloss.backward()'])]
 
 
 def slow_parse(dump):

@@ -94,10 +94,13 @@ def test_oversized(spark):
 
 def test_nested_records(spark):
     rows = [(0, 0, "b"), (0, 1, "a")]
-    status = status_of(spark, rows, "2025-07-11T02:34:53Z")
-    parsed = L.parse_log_lines(L.tail_lines(lines(spark, rows)))
-    got = L.merge_rank_logs(parsed, status.drop("entries")).first()
+    parsed = L.parse_log_lines(L.tail_lines(lines(spark, rows)), keep_bad_time=True)
+    status = L.suspend_seconds(L.latest_log_time(L.rank_status(parsed, with_log=True)), "2025-07-11T02:34:53Z")
+    got = L.merge_rank_logs(status).first()
     assert [e.message for e in got.entries] == ["b", "a"] and got.suspend_seconds == 120
+    ranges = spark.createDataFrame([("n0", 0, 2)], "node string, min_rank int, max_rank int")
+    full = {r.rank_no: [e.message for e in r.entries] for r in L.merge_rank_logs(L.complete_ranks(ranges, status)).collect()}
+    assert full == {0: ["b", "a"], 1: ["Log reading failed: no such file"]}
 
 
 def test_latest_run_dir(spark):

@@ -71,17 +71,27 @@ def filter_rank_range(df: DataFrame, ranges: DataFrame, inclusive: bool = False)
     return joined.filter((F.col("rank_no") >= F.col("_min")) & top).drop("_min", "_max")
 
 
-def rank_status(entries: DataFrame) -> DataFrame:
+def rank_status(entries: DataFrame, with_log: bool = False) -> DataFrame:
     """Per rank: entries kept, latest entry time and file time.
 
     Takes parsed lines with their ``kept`` mark.  The time is the maximum, not
-    that of the last line.
+    that of the last line.  ``with_log`` adds the entries themselves as ``log``,
+    in file order; only for lines of ``tail_lines``, whose limit bounds the list.
     """
-    return entries.groupBy("node", "rank_no", "rank").agg(
+    facts = [
         F.count_if("kept").alias("entries"),
         F.max(F.when(F.col("kept"), F.col("ts"))).alias("last_entry"),
         F.max("file_mtime").alias("file_mtime"),
-    )
+    ]
+    if with_log:
+        item = F.struct("line_no", _log_item(format_rfc3339("ts"), F.col("level"), F.col("epoch"), F.col("message")).alias("item"))
+        facts.append(F.array_sort(F.collect_list(F.when(F.col("kept"), item))).alias("log"))
+    status = entries.groupBy("node", "rank_no", "rank").agg(*facts)
+    return status.withColumn("log", F.col("log.item")) if with_log else status
+
+
+def _log_item(timestamp: Column, level: Column, epoch: Column, message: Column) -> Column:
+    return F.struct(timestamp.alias("timestamp"), level.alias("level"), epoch.alias("epoch"), message.alias("message"))
 
 
 def latest_log_time(status: DataFrame) -> DataFrame:
@@ -128,8 +138,9 @@ def complete_ranks(ranges: DataFrame, status: DataFrame, files: DataFrame | None
     entries and 0 seconds.  ``failed`` adds ``node, rank_no, reason`` of files
     that exist but could not be read.
     """
+    log = ["log"] if "log" in status.columns else []
     expected = expected_ranks(ranges, inclusive)
-    known = status.select(*RANK_KEYS, "entries", "latest", "suspend_seconds", F.lit(True).alias("_seen"))
+    known = status.select(*RANK_KEYS, "entries", "latest", "suspend_seconds", *log, F.lit(True).alias("_seen"))
     out = expected.join(known, RANK_KEYS, "left")
     if files is not None:
         out = out.join(files.select(*RANK_KEYS, F.lit(True).alias("_file")).distinct(), RANK_KEYS, "left")
@@ -142,12 +153,14 @@ def complete_ranks(ranges: DataFrame, status: DataFrame, files: DataFrame | None
     unreadable = F.when(F.col("_file").isNull(), F.lit(reason)).otherwise(F.col("_why"))
     out = out.withColumn("marker", F.concat(F.lit("Log reading failed: "), unreadable))
     broken = F.col("marker").isNotNull()
+    one = F.array(_log_item(F.lit(""), F.lit(0), F.lit(0), F.col("marker")))
+    logs = [F.when(broken, one).otherwise(F.coalesce("log", F.slice(one, 1, 0))).alias("log")] if log else []
     return out.select(
         "node", "rank_no", "rank",
         F.when(broken, F.lit(1)).otherwise(F.coalesce("entries", F.lit(0))).cast("bigint").alias("entries"),
         F.when(~broken, F.col("latest")).alias("latest"),
         F.when(broken, F.lit(NO_TIME_SECONDS)).otherwise(F.coalesce("suspend_seconds", F.lit(0))).alias("suspend_seconds"),
-        "marker",
+        "marker", *logs,
     )
 
 
@@ -162,23 +175,9 @@ def suspicious_nodes(status: DataFrame, threshold: int = DEFAULT_HANG_SECONDS) -
             .select("node", F.col("_first.rank").alias("rank"), F.col("_first.suspend_seconds").alias("suspend_seconds")))
 
 
-def merge_rank_logs(entries: DataFrame, status: DataFrame) -> DataFrame:
-    """One nested record per rank, entries in file order.
-
-    Only for entries of ``tail_lines``: its limit bounds what one row holds.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(
-        "line_no", format_rfc3339("ts").alias("timestamp"), "level", "epoch", "message")))
-    nested = entries.groupBy(*RANK_KEYS).agg(ordered.alias("_sorted"))
-    items = F.transform("_sorted", lambda e: F.struct(
-        e["timestamp"].alias("timestamp"), e["level"].alias("level"),
-        e["epoch"].alias("epoch"), e["message"].alias("message")))
-    marker = F.array(F.struct(F.lit("").alias("timestamp"), F.lit(0).alias("level"),
-                              F.lit(0).alias("epoch"), F.col("marker").alias("message")))
-    marked = F.col("marker") if "marker" in status.columns else F.lit(None).cast("string")
-    return (status.withColumn("marker", marked).join(nested, RANK_KEYS, "left")
-            .withColumn("entries", F.when(F.col("marker").isNotNull(), marker).otherwise(items))
-            .drop("_sorted", "marker"))
+def merge_rank_logs(status: DataFrame) -> DataFrame:
+    """One nested record per rank, from a status made ``with_log``."""
+    return status.select("node", "rank_no", "rank", F.col("log").alias("entries"), "suspend_seconds")
 
 
 def order_by_rank(df: DataFrame) -> DataFrame:

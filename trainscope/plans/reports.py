@@ -18,14 +18,11 @@ def log_report(lines: DataFrame, as_of: Column | dt.datetime | str, rank: str |
                ranges: DataFrame | None = None, n: int = DEFAULT_TAIL_LINES) -> DataFrame:
     """Nested log records of each rank.  The rank filter comes first, before any line is parsed."""
     wanted = L.filter_rank_logs(lines, rank)
-    parsed = L.parse_log_lines(L.tail_lines(wanted, n), keep_bad_time=True)
-    status = L.suspend_seconds(L.latest_log_time(L.rank_status(parsed)), as_of)
+    parsed = L.clean_messages(L.parse_log_lines(L.tail_lines(wanted, n), keep_bad_time=True))
+    status = L.suspend_seconds(L.latest_log_time(L.rank_status(parsed, with_log=True)), as_of)
     if ranges is not None:
         status = L.filter_rank_logs(L.complete_ranks(ranges, status), rank)
-    entries = L.clean_messages(parsed.filter("kept"))
-    merged = L.merge_rank_logs(entries, status.drop("entries"))
-    return merged.select("node", "rank_no", "rank", "entries", "suspend_seconds",
-                         format_rfc3339(L.moment(as_of)).alias("tail_time"))
+    return L.merge_rank_logs(status).withColumn("tail_time", format_rfc3339(L.moment(as_of)))
 
 
 def stack_report(procs: DataFrame, dumps: DataFrame, type: int | None = None,
