@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from trainscope.functions.stacks import process_type_name
 from trainscope.operators.skew import spread_join
 from trainscope.schemas import DEFAULT_SAMPLES
+from trainscope.session import stored
 
 PAIR = ["node", "snapshot_no"]
 
@@ -44,53 +45,61 @@ def previous_snapshot(snaps: DataFrame) -> DataFrame:
     return snaps.join(before, ["node", "pid", "snapshot_no"], "left")
 
 
-def _sides(snaps: DataFrame, samples: int, columns: list[str]) -> DataFrame:
-    """Full outer pairs of each sample with the one before, by node and pid."""
-    picked = snaps.select(*PAIR, "pid", *columns)
-    now = picked.filter(F.col("snapshot_no").between(1, samples - 1)).select(
-        *PAIR, "pid", F.struct(F.col("pid").alias("pid"), *columns).alias("now"))
-    then = picked.filter(F.col("snapshot_no").between(0, samples - 2)).select(
-        "node", (F.col("snapshot_no") + 1).alias("snapshot_no"), "pid",
-        F.struct(F.col("pid").alias("pid"), *columns).alias("then"))
-    return now.join(then, [*PAIR, "pid"], "full_outer")
+def _roles(snaps: DataFrame, samples: int) -> DataFrame:
+    """Each process once as the new side of its pair and once as the old side of the next."""
+    parts = F.explode(F.array(
+        F.struct(F.col("snapshot_no").alias("pair"), F.lit(True).alias("is_now")),
+        F.struct((F.col("snapshot_no") + 1).alias("pair"), F.lit(False).alias("is_now"))))
+    return (snaps.select("node", "pid", "rank", parts.alias("_p"))
+            .select("node", F.col("_p.pair").alias("snapshot_no"), "pid", "rank", F.col("_p.is_now").alias("is_now"))
+            .filter(F.col("snapshot_no").between(1, samples - 1)))
 
 
 def pair_errors(snaps: DataFrame, samples: int = DEFAULT_SAMPLES) -> DataFrame:
-    """Pairs of samples that cannot be compared, and why.
+    """Pairs of samples that cannot be compared, and why.  At most one row per node and pair.
 
     Processes are matched in pid order; the first position that does not fit
     decides.  That position is found from two minima instead of numbering a
     node's processes: up to the smallest pid missing on one side both sides are
     equal, and at that position each side holds its smallest pid from there on.
+
+    The result is stored: it is short, and the differences and the verdict both
+    read it.
     """
-    sides = _sides(snaps, samples, ["rank"])
-    alone = F.col("now").isNull() | F.col("then").isNull()
-    other_rank = F.lower("now.rank") != F.lower("then.rank")
-    per_pair = sides.groupBy(*PAIR).agg(
-        F.count("now").alias("n_now"), F.count("then").alias("n_then"),
+    roles = _roles(snaps, samples)
+    side = lambda now, c: F.when(F.col("is_now") == now, F.col(c))
+    by_pid = roles.groupBy(*PAIR, "pid").agg(
+        F.count(side(True, "pid")).alias("n_now"), F.count(side(False, "pid")).alias("n_then"),
+        F.max(side(True, "rank")).alias("now_rank"), F.max(side(False, "rank")).alias("then_rank"))
+    alone = (F.col("n_now") == 0) | (F.col("n_then") == 0)
+    other_rank = F.lower("now_rank") != F.lower("then_rank")
+    per_pair = stored(by_pid.groupBy(*PAIR).agg(
+        F.sum("n_now").alias("n_now"), F.sum("n_then").alias("n_then"),
         F.min(F.when(alone, F.col("pid"))).alias("gap"),
-        F.min(F.when(other_rank, F.struct("pid", F.col("now.rank").alias("now_rank"),
-                                          F.col("then.rank").alias("then_rank")))).alias("clash"),
-    )
+        F.min(F.when(other_rank, F.struct("pid", "now_rank", "then_rank"))).alias("clash"),
+    ), "pairs")
     gaps = per_pair.filter("n_now = n_then and gap is not null").select(*PAIR, "gap")
-    at_gap = (spread_join(sides, gaps, PAIR, ["pid"]).filter("pid >= gap")
-              .groupBy(*PAIR).agg(F.min("now").alias("a"), F.min("then").alias("b")))
+    held = F.struct("pid", "rank")
+    at_gap = (spread_join(roles, gaps, PAIR, ["pid"]).filter("pid >= gap").groupBy(*PAIR)
+              .agg(F.min(F.when(F.col("is_now"), held)).alias("a"), F.min(F.when(~F.col("is_now"), held)).alias("b")))
     clash_first = F.col("clash").isNotNull() & (F.col("gap").isNull() | (F.col("clash.pid") < F.col("gap")))
     error = (F.when(F.col("n_now") != F.col("n_then"), F.format_string(COUNT_ERROR, "n_now", "n_then"))
              .when(clash_first, F.format_string(RANK_ERROR, "clash.now_rank", "clash.then_rank"))
              .when(F.lower("a.rank") != F.lower("b.rank"), F.format_string(RANK_ERROR, "a.rank", "b.rank"))
              .when(F.col("gap").isNotNull(), F.format_string(PID_ERROR, "a.pid", "b.pid")))
-    return (per_pair.join(at_gap, PAIR, "left").select(*PAIR, error.alias("error"))
-            .filter("error is not null"))
+    errors = per_pair.join(at_gap, PAIR, "left").select(*PAIR, error.alias("error")).filter("error is not null")
+    return stored(errors, "pair-errors")
 
 
 def snapshot_pairs(snaps: DataFrame, samples: int = DEFAULT_SAMPLES,
                    errors: DataFrame | None = None) -> DataFrame:
     """Processes of consecutive samples side by side, comparable pairs only."""
-    columns = ["snapshot_time", "rank", "type", "threads"]
-    sides = _sides(snaps, samples, columns).filter("now is not null and then is not null")
+    held = F.struct("pid", "snapshot_time", "rank", "type", "threads")
+    now = snaps.filter(F.col("snapshot_no").between(1, samples - 1)).select(*PAIR, "pid", held.alias("now"))
+    then = (snaps.filter(F.col("snapshot_no").between(0, samples - 2))
+            .select("node", (F.col("snapshot_no") + 1).alias("snapshot_no"), "pid", held.alias("then")))
     wrong = pair_errors(snaps, samples) if errors is None else errors
-    return spread_join(sides, wrong.select(*PAIR), PAIR, ["pid"], "left_anti")
+    return spread_join(now.join(then, [*PAIR, "pid"]), wrong.select(*PAIR), PAIR, ["pid"], "left_anti")
 
 
 def _sorted_threads(threads: Column) -> Column:

@@ -53,6 +53,6 @@ def hang_check(lines: DataFrame, snaps: DataFrame, as_of: Column | dt.datetime |
     status = rank_silence(lines, ranges, as_of, n, files, failed, inclusive)
     nodes = stored(L.suspicious_nodes(status, threshold), "suspects")
     suspects = S.stacks_for_suspects(snaps, nodes)
-    errors = stored(S.pair_errors(suspects, samples), "pair-errors")
+    errors = S.pair_errors(suspects, samples)
     diffs = S.stack_diffs(suspects, samples, errors=errors)
     return HangReport(status, nodes, errors, diffs, S.snapshot_verdict(suspects, diffs, errors, samples))
