@@ -246,8 +246,8 @@ BODIES = {
     "extract_nodes": """
         SELECT c_custkey AS job, unnest(['h' || c_custkey, 'h' || c_nationkey]) AS node FROM customer WHERE c_custkey % 13 <> 0""",
     "rank_range_text": """
-        SELECT o_orderkey, CASE WHEN o_orderkey % 5 >= 3 THEN CAST(o_orderkey AS INTEGER) END AS min_rank,
-          CASE WHEN o_orderkey % 5 >= 3 THEN CAST(o_custkey AS INTEGER) END AS max_rank FROM orders""",
+        SELECT o_orderkey, CASE WHEN o_orderkey % 5 >= 3 THEN CAST(o_orderkey AS INTEGER) ELSE -1 END AS min_rank,
+          CASE WHEN o_orderkey % 5 >= 3 THEN CAST(o_custkey AS INTEGER) ELSE -1 END AS max_rank, o_orderkey % 5 >= 3 AS good FROM orders""",
     "time_bounds": f"""
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, {RFC}) WHEN 1 THEN strftime(o_orderdate, {RFC})
           WHEN 2 THEN strftime(o_orderdate - INTERVAL 8 HOUR, {RFC}) ELSE '' END AS bound FROM orders""",
@@ -343,7 +343,7 @@ BODIES = {
     "request_totals_by_instance": "SELECT method, status, instance, count(*) AS requests FROM rpc GROUP BY ALL",
     "latency_histogram": f"""
         SELECT method, le, count(*) FILTER (le = '+Inf' OR duration <= TRY_CAST(le AS DOUBLE)) AS requests,
-          CAST(sum(CAST(duration AS DECIMAL(28, 9))) AS DECIMAL(38, 4)) AS duration_sum, count(*) AS duration_count
+          CAST(CAST(sum(CAST(duration AS DECIMAL(28, 9))) AS DECIMAL(38, 4)) AS VARCHAR) AS duration_sum, count(*) AS duration_count
         FROM rpc, (VALUES {BUCKETS}) b(le) GROUP BY method, le""",
     "stream_hang": f"""
         SELECT node, rank, strftime(last_line, {RFC}) AS last_line, lines FROM (

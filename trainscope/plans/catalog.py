@@ -22,6 +22,7 @@ from trainscope.operators import snapshots as S
 from trainscope.plans.alert_check import alert_check
 from trainscope.plans.hang_check import hang_check, rank_silence
 from trainscope.plans.reports import log_report, stack_report
+from trainscope.schemas import LEDGER_SCHEMA
 from trainscope.session import work_path
 from trainscope.sinks import tables as K
 from trainscope.sources.events import parse_event_payloads, read_event_store
@@ -155,7 +156,8 @@ def extract_nodes(spark, sf):
 @query
 def rank_range_text(spark, sf):
     return (X.range_texts(spark, sf).select("o_orderkey", FT.parse_rank_range("output").alias("r"))
-            .select("o_orderkey", "r.min_rank", "r.max_rank"))
+            .select("o_orderkey", F.coalesce("r.min_rank", F.lit(-1)).alias("min_rank"),
+                    F.coalesce("r.max_rank", F.lit(-1)).alias("max_rank"), F.col("r.reason").isNull().alias("good")))
 
 
 @query
@@ -409,7 +411,7 @@ def request_totals_by_instance(spark, sf):
 
 @query
 def latency_histogram(spark, sf):
-    return V.latency_histogram(X.rpc(spark, sf))
+    return V.latency_histogram(X.rpc(spark, sf)).withColumn("duration_sum", F.col("duration_sum").cast("string"))
 
 
 # --- streams: run over the table to its end, then read back what was written -----------
@@ -457,7 +459,7 @@ def stream_mark_processed(spark, sf):
     delivered = SA.stream_alerts(X.event_store_of(_stream(spark, sf, "events")), 1)
     out = work_path(spark, "ledger")
     SA.write_marks(delivered, out, work_path(spark, "ledger-checkpoint"), X.AS_OF_MS).trigger(availableNow=True).start().awaitTermination()
-    marks = spark.read.schema("id string, processed boolean, processed_at bigint, seq bigint").parquet(out)
+    marks = spark.read.schema(LEDGER_SCHEMA).parquet(out)
     return E.apply_processed(X.event_store(spark, sf), marks).select("id", "processed", "processed_at")
 
 

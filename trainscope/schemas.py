@@ -29,7 +29,6 @@ DEFAULT_SAMPLES = 5
 MAX_LINE_BYTES = 1024 * 1024
 NO_TIME_SECONDS = -10
 EARLIEST_VALID_TIME = "2000-01-01T00:00:00Z"
-EVENT_FILE_BYTES = 10 * 1024 * 1024
 DEFAULT_EVENT_TYPE = "alert"
 WEBHOOK_SOURCE = "trainning"
 METRICS_INTERVAL = "15 seconds"
@@ -39,7 +38,8 @@ LATENCY_BUCKETS = ("0.005", "0.01", "0.025", "0.05", "0.1", "0.25", "0.5", "1",
 # Name, rank, time and level of a log line; the message body follows.
 LOG_HEAD = r"\[[^\]]+\]\[RANK \d+\]\[[^\]]+\]\[[^\]]+\] "
 LOG_EPOCH = r"\[Train\] \(Epoch (\d+)\)"
-LOG_TIME = r"\A(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))?\z"
+# Date, time and fraction; any other text matches with all groups empty.
+LOG_TIME = r"(?s)\A(?:(\d{4}-\d\d-\d\d) +(\d{1,2}:\d\d:\d\d)(?:[.,](\d+))?|.*)\z"
 THREAD_START = "Traceback for thread"
 # Every character of the Unicode White_Space property.
 WHITE_SPACE = ("\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
@@ -62,11 +62,6 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("processed", T.BooleanType()),
     T.StructField("processed_at", T.LongType()),
 ])
-THREAD_TYPE = T.StructType([
-    T.StructField("thread_id", T.IntegerType()),
-    T.StructField("thread_name", T.StringType()),
-    T.StructField("stack_frames", T.ArrayType(T.StringType())),
-])
 LEDGER_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("processed", T.BooleanType()),
