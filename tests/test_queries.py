@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle_check import compare, connect
+from trainscope.oracles import statements
+from trainscope.plans.catalog import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 STORED = {"hang_verdicts", "alert_rollup", "alert_messages", "alert_marks", "event_store_day"}
@@ -15,10 +17,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(statements())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_against_sql(spark, con, name):
     assert compare(spark, con, name, SF) is None
 
@@ -31,7 +33,7 @@ def plan_of(spark, name):
     return entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if not n.startswith("stream_") and n not in STORED])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_") and n not in STORED])
 def test_plans_stay_distributed(spark, name):
     plan = plan_of(spark, name)
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "MapInPandas"):
