@@ -118,6 +118,7 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float, most: int =
                          F.pmod(F.coalesce("copies", "n"), F.col("n")).alias("__rest"),
                          F.ceil(F.col("n") / ROWS).alias("__buckets"))
     rows = rows.join(dealt, ["__key", "size"]).withColumn("__b", F.pmod("__h", "__buckets"))
+    rows = rows.repartition("__key", "size", "__b")  # so that one frequent size is ranked in many tasks
     # The place of a document among those of its source and size, in the order of (bucket, hash).
     before = Window.partitionBy("__key", "size").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy("__key", "size", "__b").agg(F.count("*").alias("__n"))
