@@ -22,8 +22,7 @@ def brute(docs, k, num, den):
     for i in range(len(docs)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            same = docs[i][0] == docs[j][0] and docs[i][0] is not None and sets[i] and sets[j]
-            if same or both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+            if both and den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 root[top(i)] = top(j)
     least = {}
     for i, (d, _) in enumerate(docs):
@@ -61,6 +60,23 @@ def test_awkward_rows_and_clashing_columns(spark):
     assert J.jaccard_components(documents(spark, []), 3, 90, 100).count() == 0
 
 
+def test_sets_that_link_share_a_signature():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    for num in (80, 90):
+        signatures, met = J.Signatures(num, 100), 0
+        for _ in range(3000):
+            n = int(rng.integers(1, 200))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+            drop = rng.random(len(a)) < rng.random() * 0.2
+            b = np.unique(np.concatenate([a[~drop], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and not np.array_equal(a, b) and 100 * both >= num * (len(a) + len(b) - both):
+                met += 1
+                assert np.intersect1d(signatures.of(a), signatures.of(b)).size
+        assert met > 100
+
+
 def test_divide_skip_equals_counting():
     import numpy as np
     rng = np.random.default_rng(1)

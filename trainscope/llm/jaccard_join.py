@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from bisect import bisect
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -13,14 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trainscope.llm.common import small_batches, stored, table
-from trainscope.llm.counting import total_counts
 from trainscope.llm.graph import connected_components
 from trainscope.llm.words import Words, grams, mix, pieces, runs, signed, words_of
 
 #: Shingles in one block of documents that a task searches at a time.
 BLOCK = 1 << 17
-#: Counters of the frequency sketch; its size does not depend on the data.
-SKETCH_BITS = 17
 
 
 # --- sets ------------------------------------------------------------------------------
@@ -103,62 +101,77 @@ def _block_edges(ids: list[int], sets: list[np.ndarray], centre: int | None, num
 
 # --- the join -----------------------------------------------------------------------------
 
-_DOC = "doc_id long, n int, hi long, lo long, prefix array<long>"
+class Signatures:
+    """Signatures of which two sets that link share at least one.
 
+    Sets of about one size are cut by hash into parts, more than any two that link differ in elements;
+    so ``spare + 1`` parts at least are equal in both.  A set leaves out its ``spare`` smallest parts:
+    the largest of the equal parts stays in both.  A part holds several shingles, so documents that only
+    share a phrase or a passage seldom meet.
+    """
 
-def _ranks(docs: DataFrame, k: int) -> np.ndarray:
-    """How common the shingles of each counter are (a power of two), over all documents.
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.edge = [1]  # sizes at which a class begins
+        while self.edge[-1] < 1 << 31:
+            self.edge.append(max(self.edge[-1] + 1, self.edge[-1] * 7 // 5))
 
-    Any order of the shingles gives the same links, so collisions of counters do no harm; the order
-    only puts shingles that very many documents share behind those that few have.
-    """
-    def count(total, piece):
-        for found in _piece_sets(piece, k):
-            np.add.at(total, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """For the set's own class and, where a larger set that links may be in another, for that one too."""
+        n, out = len(s), []
+        for size in range(bisect(self.edge, n) - 1, bisect(self.edge, n * self.den // self.num)):
+            differ = 2 * (self.edge[size + 1] - 1) * (self.den - self.num) // (self.den + self.num)
+            if differ:  # otherwise only equal sets link
+                spare = -(-(differ + 1) // 10)
+                parts = np.uint64(differ + 1 + spare)
+                part = ((s >> np.uint64(32)) * parts) >> np.uint64(32)  # rises with s, so parts are runs
+                count = np.bincount(part.astype(np.int64), minlength=int(parts))
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s + np.uint64(size + 1)))])
+                end = np.cumsum(count)
+                content = total[end] - total[end - count]
+                keep = np.lexsort((content, count))[spare:]
+                out.append(mix(content[keep] + mix(keep.astype(np.uint64) * np.uint64(2**20) + np.uint64(size + 1))))
+        return np.concatenate(out) if out else s[:0]
+
+
+_DOC = "doc_id long, uid long, n int, v long, signatures array<long>"
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=8).digest()
 
-    counts = total_counts(docs.select("text"), count, 1 << SKETCH_BITS)
-    return np.ceil(np.log2(counts + 1)).astype(np.uint8)
 
+def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Size, digest and signatures of each document's set."""
+    signatures = Signatures(num, den)
 
-def _described(docs: DataFrame, k: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """Size, digest and rarest shingles of each document's set."""
     def describe(batches):
         for batch in batches:
             for piece in pieces(batch):
-                size, digest, prefix = [], [], []
+                size, digest, found = [], [], []
                 for s in _piece_sets(piece, k):
                     size.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    keep = len(s) - needed(len(s), num, den) + 1 if len(s) else 0
-                    rank = ranks[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                    order = (rank << np.uint64(56)) | (s >> np.uint64(8))
-                    prefix.append(signed(s[np.argpartition(order, keep - 1)[:keep]] if 0 < keep < len(s) else s))
-                both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
+                    digest.append(_digest(s))
+                    found.append(signatures.of(s))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(size, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefix)))],
-                    ["doc_id", "n", "hi", "lo", "prefix"])
+                    [piece.column("doc_id"), piece.column("uid"), pa.array(size, pa.int32()), pa.array(np.frombuffer(b"".join(digest), np.int64)),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(found))))],
+                    ["doc_id", "uid", "n", "v", "signatures"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(describe, _DOC)
+    return docs.mapInArrow(describe, _DOC)
 
 
 def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(v, shingles)`` of the wanted documents ``(v, hi, lo)``; of rows that share an id the one with that digest."""
+    """``(v, shingles)`` of the wanted sets ``(v, uid)``, each built from one document that has it."""
     def build(batches):
         for batch in batches:
             for piece in pieces(batch):
-                v, hi, lo = (piece.column(c).to_pylist() for c in ("v", "hi", "lo"))
-                rows = {}
-                for i, s in enumerate(_piece_sets(piece, k)):
-                    digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    if digest[0] == hi[i] and digest[1] == lo[i]:
-                        rows[v[i]] = s.tobytes()
+                rows = dict(zip(piece.column("v").to_pylist(), (s.tobytes() for s in _piece_sets(piece, k))))
                 yield pa.RecordBatch.from_pydict({"v": pa.array(rows.keys(), pa.int64()),
                                                   "shingles": pa.array(rows.values(), pa.binary())})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("v"), "text")
-    return texts.join(wanted, "v").mapInArrow(build, "v long, shingles binary")
+    return docs.select("uid", "text").join(wanted, "uid").dropDuplicates(["v"]).mapInArrow(build, "v long, shingles binary")
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,27 +206,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     distinct runs of ``k`` words; with fewer words it holds the whole sequence.  Documents link when
     ``den * |both| >= num * |either|``; ``component_id`` is the smallest id reachable by links.
 
-    Null and blank texts have an empty set and link with nothing, so they stand alone.  An id stands for
-    one vertex of the graph, so where it has several texts their components may be joined; a null id takes
-    part only through equal sets, and its row gets the component of those.  Other columns are ignored.
+    Null and blank texts have an empty set and link with nothing, so they stand alone.  Rows that share
+    an id are told apart by their sets.  A null id has no part in the minimum; where no other id is
+    linked, the component is null.  Other columns are ignored.
 
-    Documents with equal sets count once from here on.  Two sets that link share one of their rarest
-    ``n - needed + 1`` shingles; all who share such a shingle meet at the smallest id among them, the
-    centre.  A centre's documents are split into blocks of about ``BLOCK`` shingles, and each block is
-    searched by T-occurrence: whoever links with the centre is connected through it, and whoever does
-    not is searched against the block, and then against every other block of that centre.  So no link
-    between components is missed, and the links inside one need not all be listed.
+    Documents with equal sets count once from here on; a set is named by a 64-bit digest.  Sets that
+    link share a signature; all who share one meet at the smallest digest among them, the centre.  A
+    centre's sets are split into blocks of about ``BLOCK`` shingles, and each block is searched by
+    T-occurrence: whoever links with the centre is connected through it, and whoever does not is
+    searched against the block, and then against every other block of that centre.  So no link between
+    components is missed, and the links inside one need not all be listed.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    told = stored(_described(docs, k, num, den, _ranks(docs, k)), "jaccard-docs")
-    classes = told.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    reps = told.withColumnRenamed("doc_id", "v").join(
-        classes.where("rep is not null").select(F.col("rep").alias("v"), "hi", "lo"), ["v", "hi", "lo"])
-    rare = reps.select(F.explode("prefix").alias("shingle"), "v", "n", "hi", "lo")
-    shared = rare.groupBy("shingle").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last")
-    met = stored(rare.join(shared.select("shingle", "c"), "shingle").select("c", "v", "n", "hi", "lo").distinct(), "jaccard-met")
-    sets = stored(_set_rows(docs, met.select("v", "hi", "lo").distinct(), k), "jaccard-sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    told = stored(_described(docs, k, num, den), "jaccard-docs")
+    classes = told.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), F.max("n").alias("n"))
+    signed_ = told.select(F.explode("signatures").alias("signature"), "v")
+    shared = signed_.groupBy("signature").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last")
+    pairs = signed_.join(shared.select("signature", "c"), "signature").select("c", "v").distinct()
+    met = stored(pairs.join(classes, "v").select("c", "v", "n", "uid"), "jaccard-met")
+    sets = stored(_set_rows(docs, met.select("v", "uid").distinct(), k), "jaccard-sets")
 
     size = met.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("blocks"))
     placed = met.select("c", "v", "n").join(size, "c")
@@ -239,9 +251,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         more = _search(against.unionByName(asked.select(against.columns)).join(sets, "v"), num, den)
         root = stored(connected_components(edges.unionByName(more)), "jaccard-roots")
 
-    roots = root.select(F.col("v").alias("rep"), "root")
-    whole = classes.join(roots, "rep", "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    linked = told.where("n > 0").select("doc_id", "n", "hi", "lo").join(whole, ["hi", "lo"], "left")
+    named = classes.select("v", "rep").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    whole = named.join(least, "root").select("v", "component_id")
+    linked = told.where("n > 0").select("doc_id", "n", "v").join(whole, "v", "left")
     alone = told.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return (linked.select("doc_id", "n", "component_id").unionByName(alone)
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
