@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trainscope.session import stored
+from trainscope.session import stored as stored
 
-#: Rows per Arrow batch: whole texts travel, so a batch must stay small.
-BATCH_ROWS = "1000"
+#: Rows and bytes of an Arrow batch: whole texts travel, so a batch must stay small.
+BATCH_ROWS, BATCH_BYTES = "1000", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -26,6 +27,3 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-__all__ = ["BATCH_ROWS", "fold", "parts_of", "small_batches", "stored", "table"]
