@@ -17,6 +17,8 @@ from trainscope.llm.common import small_batches, stored, table
 from trainscope.llm.graph import connected_components
 from trainscope.llm.words import Words, grams, mix, pieces, runs, signed, words_of
 
+#: Rows of two or three numbers that may be broadcast.
+BROADCAST_ROWS = 1 << 20
 #: Shingles in one block of documents that a task searches at a time.
 BLOCK = 1 << 17
 
@@ -86,16 +88,29 @@ class Lists:
         return places[den * overlap >= num * (len(query) + self.sizes[places] - overlap)].tolist()
 
 
-def _block_edges(ids: list[int], sets: list[np.ndarray], centre: int | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect whatever is linked in this block: first with the centre, then of those left over with all."""
-    lists = Lists(sets)
-    edges, reached = [], set()
-    if centre is not None:
-        reached = set(lists.search(sets[centre], num, den)) | {centre}
-        edges = [(ids[centre], ids[p]) for p in reached]
-    for q in range(len(ids)):
-        if q not in reached:
-            edges += [(ids[q], ids[p]) for p in lists.search(sets[q], num, den) if p != q]
+def _block_edges(ids: list[int], sets: list[np.ndarray], group: list[int], queries: list[int], centre: int | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect whatever the queries link with in this block, none of them needless.
+
+    ``group`` gives what is connected already.  A query is left out once it is connected with the
+    centre: whoever is not searches for itself, so a link between two components is found from one side.
+    """
+    root = {g: g for g in group}
+
+    def top(g: int) -> int:
+        while root[g] != g:
+            root[g] = root[root[g]]
+            g = root[g]
+        return g
+
+    lists, edges = Lists(sets), []
+    for q in queries:
+        if centre is not None and q != centre and top(group[q]) == top(group[centre]):
+            continue
+        for p in lists.search(sets[q], num, den):
+            a, b = top(group[q]), top(group[p])
+            if a != b:
+                root[a] = b
+                edges.append((ids[q], ids[p]))
     return edges
 
 
@@ -175,28 +190,26 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges from sorted blocks ``(c, block, part, role, v, shingles)``; role 0 is the centre, 1 a member, 2 a query."""
+    """Edges from sorted blocks ``(c, block, part, role, v, own, shingles)``; role 0 is the centre, 1 a member, 2 a query.
+
+    Without queries every set is one, the centre first.  ``own`` names what is connected already.
+    """
     def search(batches):
         for run in runs(batches, ["c", "block", "part"]):
-            role = run.column("role").to_pylist()
-            v = run.column("v").to_pylist()
+            role, v, own = (run.column(c).to_pylist() for c in ("role", "v", "own"))
             sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
-            seen: dict[int, int] = {}
-            for i, r in enumerate(role):
-                if r < 2:
-                    seen.setdefault(v[i], i)
-            ids, own = list(seen), [sets[i] for i in seen.values()]
-            if 2 in role:
-                lists = Lists(own)
-                edges = [(v[i], ids[p]) for i, r in enumerate(role) if r == 2 for p in lists.search(sets[i], num, den)]
-            else:
-                edges = _block_edges(ids, own, 0 if role[0] == 0 else None, num, den)
-            edges = [(a, b) for a, b in edges if a != b]
+            asked = [i for i, r in enumerate(role) if r == 2] or list(range(len(role)))
+            edges = _block_edges(v, sets, own, asked, 0 if role[0] == 0 else None, num, den)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.int64()),
                                               "b": pa.array([b for _, b in edges], pa.int64())})
 
     keyed = rows.repartition("c", "block", "part").sortWithinPartitions("c", "block", "part", "role", "v")
-    return keyed.select("c", "block", "part", "role", "v", "shingles").mapInArrow(search, "a long, b long")
+    return keyed.select("c", "block", "part", "role", "v", "own", "shingles").mapInArrow(search, "a long, b long")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast to a join if its counted rows stay below a fixed bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -223,9 +236,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = told.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), F.max("n").alias("n"))
     signed_ = told.select(F.explode("signatures").alias("signature"), "v")
     shared = signed_.groupBy("signature").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last")
-    pairs = signed_.join(shared.select("signature", "c"), "signature").select("c", "v").distinct()
+    shared = stored(shared.select("signature", "c"), "jaccard-shared")
+    pairs = signed_.join(_few(shared), "signature").select("c", "v").distinct()
     met = stored(pairs.join(classes, "v").select("c", "v", "n", "uid"), "jaccard-met")
-    sets = stored(_set_rows(docs, met.select("v", "uid").distinct(), k), "jaccard-sets")
+    wanted = stored(met.select("v", "uid").distinct(), "jaccard-wanted")
+    sets = stored(_set_rows(docs, _few(wanted), k), "jaccard-sets")
 
     size = met.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("blocks"))
     placed = met.select("c", "v", "n").join(size, "c")
@@ -233,7 +248,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = (placed.where("c != v").select("c", "v", own.alias("block"), F.lit(1).alias("role"))
                .unionByName(placed.where("c = v").select("c", "v", everywhere.alias("block"), F.lit(0).alias("role"))))
-    edges = stored(_search(members.withColumn("part", F.lit(0)).join(sets, "v"), num, den), "jaccard-edges")
+    edges = stored(_search(members.withColumns({"part": F.lit(0), "own": F.col("v")}).join(sets, "v"), num, den), "jaccard-edges")
     found = connected_components(edges)
 
     # Of centres with several blocks: whoever is not connected with the centre by now is searched everywhere.
@@ -248,7 +263,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         asked = apart.join(parts, "c").select("c", "v", everywhere.alias("block"), F.lit(2).alias("role"),
                                               F.pmod(F.xxhash64("v", F.lit(1)), F.col("parts")).cast("int").alias("part"))
         against = members.join(parts, "c").select("c", "v", "block", "role", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        more = _search(against.unionByName(asked.select(against.columns)).join(sets, "v"), num, den)
+        every = against.unionByName(asked.select(against.columns)).join(root, "v", "left").withColumn("own", F.coalesce("root", "v"))
+        more = _search(every.join(sets, "v"), num, den)
         root = stored(connected_components(edges.unionByName(more)), "jaccard-roots")
 
     named = classes.select("v", "rep").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
