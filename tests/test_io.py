@@ -120,7 +120,7 @@ def test_snapshots_in_both_spellings(spark, tmp_path):
     assert [(t.thread_id, t.thread_name, t.stack_frames) for t in one.threads] == [(5, "m}\n{", ["x"]), (0, "", [])]
     pair = got.filter("path like '%/a.json'").withColumn("node", F.lit("n")).withColumn(
         "snapshot_time", F.concat(F.lit("time"), 2 - F.col("snapshot_no")))
-    diff = S.stack_diffs(pair, 2).first().diff
+    diff = S.stack_diffs(pair).first().diff
     assert diff == ("Detected different process stacks. RANK7, Process type: PROCESS_DATA_LOADER, Process ID:40826, "
                     "Thread ID: 40826, Stack frame level: 2\n[time1]Stack frame content: File 563\ntime.sleep(2)\n"
                     "[time2]Stack frame content: File 553\ntime.sleep(2)\n")
@@ -134,7 +134,7 @@ def test_hang_check_writes_reports(spark, tmp_path):
     ranges = spark.createDataFrame([("n", 0, 2)], "node string, min_rank int, max_rank int")
     write(str(tmp_path / "snap.json"), json.dumps([[SNAPSHOT], [SNAPSHOT], [dict(SNAPSHOT, rank="RANK8")]]))
     snaps = RS.read_process_snapshots(spark, str(tmp_path / "snap.json")).withColumn("node", F.lit("n")).withColumn("snapshot_time", F.lit("t"))
-    report = hang_check(lines, snaps, "2025-07-11T03:00:00Z", ranges, samples=3)
+    report = hang_check(lines, snaps, "2025-07-11T03:00:00Z", ranges)
     assert [tuple(r) for r in report.nodes.collect()] == [("n", "RANK0", 3600)]
     verdicts = {r.snapshot_no: (r.verdict, r.error) for r in report.verdicts.collect()}
     assert verdicts == {1: ("noDiff", None), 2: ("haveDiff", "process ranks are different: RANK8 and RANK7")}
@@ -152,7 +152,7 @@ def test_hang_check_writes_reports(spark, tmp_path):
              "Message": "[t][RANK 0][2025-07-11 02:00:00][LOG_INFO] [Train] (Epoch 3) go"},
             {"timestamp": "", "Message": "plain"}]}
     assert os.path.isdir(f"{logs_out}/job=job/selection=allrank")
-    below_top = ranges.withColumn("max_rank", F.lit(1))
+    below_top = ranges.withColumn("max_rank", F.lit(0))
     one = log_report(lines, "2025-07-11T03:00:00Z", rank="RANK1", ranges=below_top)
     assert [(r["rank"], len(r.entries)) for r in one.collect()] == []
     one = log_report(lines, "2025-07-11T03:00:00Z", rank="RANK1")

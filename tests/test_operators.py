@@ -80,7 +80,7 @@ def test_complete_ranks(spark):
     status = status_of(spark, [(0, 0, "x"), (4, 0, "x")], "2025-07-11T02:34:53Z")
     files = spark.createDataFrame([("n0", 0), ("n0", 1), ("n0", 2), ("n0", 4)], "node string, rank_no int")
     failed = spark.createDataFrame([("n0", 2, "token too long")], "node string, rank_no int, reason string")
-    got = {r.rank_no: (r.entries, r.suspend_seconds, r.marker) for r in L.complete_ranks(ranges, status, files, failed).collect()}
+    got = {r.rank_no: (r.entries, r.suspend_seconds, r.marker) for r in L.complete_ranks(ranges, status, files, failed, inclusive=False).collect()}
     assert got == {0: (1, 120, None), 1: (0, 0, None), 2: (1, -10, "Log reading failed: token too long"),
                    3: (1, -10, "Log reading failed: no such file")}
     full = L.complete_ranks(ranges, status, files, failed, inclusive=True)
@@ -194,11 +194,11 @@ def snaps(spark, rows):
 
 
 def diffs(spark, rows):
-    return [r.diff for r in S.stack_diffs(snaps(spark, rows), 2).orderBy("pid").collect()]
+    return [r.diff for r in S.stack_diffs(snaps(spark, rows)).orderBy("pid").collect()]
 
 
 def errors(spark, rows):
-    return [r.error for r in S.pair_errors(snaps(spark, rows), 2).collect()]
+    return [r.error for r in S.pair_errors(snaps(spark, rows)).collect()]
 
 
 def test_thread_order_does_not_matter(spark):
@@ -230,12 +230,19 @@ def test_pair_errors(spark):
     t = [(1, ["a"])]
     assert errors(spark, [(0, 1, "RANK0", t), (1, 1, "rank0", t)]) == []
     assert errors(spark, [(0, 1, "RANK0", t), (1, 1, "RANK0", t), (1, 2, "RANK1", t)]) == ["process count mismatch: psa: 2, psb: 1"]
-    assert errors(spark, [(0, 1, "RANK0", t)]) == ["process count mismatch: psa: 0, psb: 1"]
+    assert errors(spark, [(0, 1, "RANK0", t)]) == []  # the second sample was not taken: nothing to compare
     assert errors(spark, [(0, 1, "RANK0", t), (1, 2, "RANK0", t)]) == [
         "internal error, comparing two different processes. pid: 2 and 1"]
     assert errors(spark, [(0, 1, "RANK0", t), (1, 2, "RANK1", t)]) == ["process ranks are different: RANK1 and RANK0"]
 
 
+def test_all_samples_are_compared(spark):
+    df = snaps(spark, [(i, 1, "RANK0", [(1, [f"frame {i}"])]) for i in range(8)])
+    errs = S.pair_errors(df)
+    found = S.snapshot_verdict(df, S.stack_diffs(df, errors=errs), errs)
+    assert sorted((r.snapshot_no, r.verdict) for r in found.collect()) == [(i, "haveDiff") for i in range(1, 8)]
+
+
 def loop_error(now, then):
     """Position by position, as a person would compare two sorted lists."""
     if len(now) != len(then):
@@ -259,19 +266,19 @@ def test_pair_errors_against_a_loop(spark):
             rows += [(f"n{case}", s, "t", pid, rank, 1, []) for pid, rank in sides[-1]]
         want[f"n{case}"] = loop_error(*sides)
     df = spark.createDataFrame(rows, SNAP)
-    got = {r.node: r.error for r in S.pair_errors(df, 2).collect()}
+    got = {r.node: r.error for r in S.pair_errors(df).collect()}
     assert got == {k: v for k, v in want.items() if v}
 
 
 def test_verdict_and_custom_rule(spark):
     t = [(1, ["a"])]
     df = snaps(spark, [(0, 1, "RANK0", t), (1, 1, "RANK0", t), (2, 1, "RANK0", [(1, ["b"])])])
-    errs = S.pair_errors(df, 3)
-    found = S.stack_diffs(df, 3, errors=errs)
-    got = {r.snapshot_no: (r.verdict, r.diffs) for r in S.snapshot_verdict(df, found, errs, 3).collect()}
+    errs = S.pair_errors(df)
+    found = S.stack_diffs(df, errors=errs)
+    got = {r.snapshot_no: (r.verdict, r.diffs) for r in S.snapshot_verdict(df, found, errs).collect()}
     assert got == {1: ("noDiff", 0), 2: ("haveDiff", 1)}
     rule = lambda pairs: pairs.select(F.col("now.rank").alias("rank"), F.lit("seen").alias("diff"), F.col("now.type").alias("type"))
-    assert S.stack_diffs(df, 3, rule).count() == 2
+    assert S.stack_diffs(df, rule).count() == 2
 
 
 # --- events ----------------------------------------------------------------------------------

@@ -19,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A table in fewer files than cores, spread over the cores before its rows are expanded."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def as_utc(column: str):
     """Source times carry no zone and mean UTC."""
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({column} as timestamp_ntz))"))
@@ -57,7 +51,7 @@ def log_lines_of(events: DataFrame) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log_lines_of(spread(table(spark, sf_dir, "events"), "event_id"))
+    return log_lines_of(table(spark, sf_dir, "events"))
 
 
 def event_store_of(events: DataFrame) -> DataFrame:
@@ -93,7 +87,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     node_no = "(o_orderkey % 8)"
     # On node 7 some processes end before the last sample.
     lives = F.expr(f"explode(sequence(0, case when {node_no} = 7 and o_orderkey % 100 = 7 then 3 else 4 end))")
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     base = (orders.select("o_orderkey", "o_custkey", lives.alias("snapshot_no"))
             .withColumn("node", F.expr(f"concat('node', {node_no})"))
             .withColumn("rank_no", F.expr("(o_orderkey div 512) % 64")))
@@ -148,14 +142,14 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = 'The frame stack for thread 1 is empty\n    (Python) File "early.py", line 1, in f\n'
     body = F.concat(*[part for k in range(1, 5) for part in frame(k)])
     dump = F.concat(F.lit(note), F.concat_ws("\n", *[thread(t) for t in range(1, 4)]))
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     return (orders.withColumn("body", body)
             .select(F.concat(F.lit("node"), key % 8).alias("node"), key.alias("pid"), dump.alias("dump")))
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One launcher per node; each order is a trainer or a data worker."""
-    orders = (spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+    orders = (table(spark, sf_dir, "orders").select("o_orderkey")
               .select("o_orderkey", F.expr("cast(o_orderkey % 8 as int)").alias("node_no")))
     worker = F.col("o_orderkey") % 5 == 0
     environ = F.when(F.col("o_orderkey") % 37 == 0, F.lit("HOME=/root\0LOCAL_RANK=1")).otherwise(F.concat(
@@ -222,7 +216,7 @@ def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), utf8))
            .when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16"))
            .otherwise(F.concat(utf8, F.unhex(F.lit("FF")), utf8)))
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.select("doc_id", raw.alias("raw"))
 
 

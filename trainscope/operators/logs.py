@@ -62,7 +62,7 @@ def filter_rank_logs(df: DataFrame, rank: str | None = None) -> DataFrame:
     return df.filter(F.col("rank") == rank) if rank else df
 
 
-def filter_rank_range(df: DataFrame, ranges: DataFrame, inclusive: bool = False) -> DataFrame:
+def filter_rank_range(df: DataFrame, ranges: DataFrame, inclusive: bool = True) -> DataFrame:
     """Rows whose rank lies in its node's range; the top rank only if ``inclusive``."""
     bounds = ranges.select("node", F.col("min_rank").alias("_min"), F.col("max_rank").alias("_max"))
     top = F.col("rank_no") <= F.col("_max") if inclusive else F.col("rank_no") < F.col("_max")
@@ -120,7 +120,7 @@ def oversized_ranks(lines: DataFrame, limit: int = MAX_LINE_BYTES) -> DataFrame:
     return widest.filter(F.col("line_bytes") >= limit)
 
 
-def expected_ranks(ranges: DataFrame, inclusive: bool = False) -> DataFrame:
+def expected_ranks(ranges: DataFrame, inclusive: bool = True) -> DataFrame:
     """One row per rank a node should have; the top rank only if ``inclusive``."""
     top = F.col("max_rank") if inclusive else F.col("max_rank") - 1
     return (ranges.filter(F.col("min_rank") <= top)
@@ -129,7 +129,7 @@ def expected_ranks(ranges: DataFrame, inclusive: bool = False) -> DataFrame:
 
 
 def complete_ranks(ranges: DataFrame, status: DataFrame, files: DataFrame | None = None,
-                   failed: DataFrame | None = None, inclusive: bool = False,
+                   failed: DataFrame | None = None, inclusive: bool = True,
                    reason: str = "no such file") -> DataFrame:
     """Every expected rank, with a marker entry where its log could not be read.
 

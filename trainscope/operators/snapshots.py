@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from trainscope.functions.stacks import process_type_name
 from trainscope.operators.skew import spread_join
-from trainscope.schemas import DEFAULT_SAMPLES
 from trainscope.session import stored
 
 PAIR = ["node", "snapshot_no"]
@@ -45,19 +44,20 @@ def previous_snapshot(snaps: DataFrame) -> DataFrame:
     return snaps.join(before, ["node", "pid", "snapshot_no"], "left")
 
 
-def _roles(snaps: DataFrame, samples: int) -> DataFrame:
+def _roles(snaps: DataFrame) -> DataFrame:
     """Each process once as the new side of its pair and once as the old side of the next."""
     parts = F.explode(F.array(
         F.struct(F.col("snapshot_no").alias("pair"), F.lit(True).alias("is_now")),
         F.struct((F.col("snapshot_no") + 1).alias("pair"), F.lit(False).alias("is_now"))))
     return (snaps.select("node", "pid", "rank", parts.alias("_p"))
-            .select("node", F.col("_p.pair").alias("snapshot_no"), "pid", "rank", F.col("_p.is_now").alias("is_now"))
-            .filter(F.col("snapshot_no").between(1, samples - 1)))
+            .select("node", F.col("_p.pair").alias("snapshot_no"), "pid", "rank", F.col("_p.is_now").alias("is_now")))
 
 
-def pair_errors(snaps: DataFrame, samples: int = DEFAULT_SAMPLES) -> DataFrame:
+def pair_errors(snaps: DataFrame) -> DataFrame:
     """Pairs of samples that cannot be compared, and why.  At most one row per node and pair.
 
+    A pair is any sample and the one before it, if both were taken.
+
     Processes are matched in pid order; the first position that does not fit
     decides.  That position is found from two minima instead of numbering a
     node's processes: up to the smallest pid missing on one side both sides are
@@ -66,7 +66,7 @@ def pair_errors(snaps: DataFrame, samples: int = DEFAULT_SAMPLES) -> DataFrame:
     The result is stored: it is short, and the differences and the verdict both
     read it.
     """
-    roles = _roles(snaps, samples)
+    roles = _roles(snaps)
     side = lambda now, c: F.when(F.col("is_now") == now, F.col(c))
     by_pid = roles.groupBy(*PAIR, "pid").agg(
         F.count(side(True, "pid")).alias("n_now"), F.count(side(False, "pid")).alias("n_then"),
@@ -77,7 +77,7 @@ def pair_errors(snaps: DataFrame, samples: int = DEFAULT_SAMPLES) -> DataFrame:
         F.sum("n_now").alias("n_now"), F.sum("n_then").alias("n_then"),
         F.min(F.when(alone, F.col("pid"))).alias("gap"),
         F.min(F.when(other_rank, F.struct("pid", "now_rank", "then_rank"))).alias("clash"),
-    ), "pairs")
+    ).filter("n_now > 0 and n_then > 0"), "pairs")
     gaps = per_pair.filter("n_now = n_then and gap is not null").select(*PAIR, "gap")
     held = F.struct("pid", "rank")
     at_gap = (spread_join(roles, gaps, PAIR, ["pid"]).filter("pid >= gap").groupBy(*PAIR)
@@ -91,14 +91,12 @@ def pair_errors(snaps: DataFrame, samples: int = DEFAULT_SAMPLES) -> DataFrame:
     return stored(errors, "pair-errors")
 
 
-def snapshot_pairs(snaps: DataFrame, samples: int = DEFAULT_SAMPLES,
-                   errors: DataFrame | None = None) -> DataFrame:
+def snapshot_pairs(snaps: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """Processes of consecutive samples side by side, comparable pairs only."""
     held = F.struct("pid", "snapshot_time", "rank", "type", "threads")
-    now = snaps.filter(F.col("snapshot_no").between(1, samples - 1)).select(*PAIR, "pid", held.alias("now"))
-    then = (snaps.filter(F.col("snapshot_no").between(0, samples - 2))
-            .select("node", (F.col("snapshot_no") + 1).alias("snapshot_no"), "pid", held.alias("then")))
-    wrong = pair_errors(snaps, samples) if errors is None else errors
+    now = snaps.select(*PAIR, "pid", held.alias("now"))
+    then = snaps.select("node", (F.col("snapshot_no") + 1).alias("snapshot_no"), "pid", held.alias("then"))
+    wrong = pair_errors(snaps) if errors is None else errors
     return spread_join(now.join(then, [*PAIR, "pid"]), wrong.select(*PAIR), PAIR, ["pid"], "left_anti")
 
 
@@ -145,17 +143,16 @@ def compare_threads(pairs: DataFrame) -> DataFrame:
 Rule = Callable[[DataFrame], DataFrame]
 
 
-def stack_diffs(snaps: DataFrame, samples: int = DEFAULT_SAMPLES, rule: Rule = compare_threads,
+def stack_diffs(snaps: DataFrame, rule: Rule = compare_threads,
                 errors: DataFrame | None = None) -> DataFrame:
     """Differences by a rule: a function of the pairs giving ``rank, diff, type`` rows."""
-    return rule(snapshot_pairs(snaps, samples, errors))
+    return rule(snapshot_pairs(snaps, errors))
 
 
-def snapshot_verdict(snaps: DataFrame, diffs: DataFrame, errors: DataFrame,
-                     samples: int = DEFAULT_SAMPLES) -> DataFrame:
-    """``haveDiff`` or ``noDiff`` per node and sample; an error counts as a difference."""
-    nodes = snaps.select("node").distinct()
-    pairs = nodes.withColumn("snapshot_no", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))))
+def snapshot_verdict(snaps: DataFrame, diffs: DataFrame, errors: DataFrame) -> DataFrame:
+    """``haveDiff`` or ``noDiff`` per node and sample whose predecessor was taken too; an error counts as a difference."""
+    taken = snaps.select(*PAIR).distinct()
+    pairs = taken.join(taken.select("node", (F.col("snapshot_no") + 1).alias("snapshot_no")), PAIR, "left_semi")
     found = diffs.groupBy(*PAIR).agg(F.count("*").alias("diffs"))
     out = pairs.join(found, PAIR, "left").join(errors, PAIR, "left")
     same = F.col("diffs").isNull() & F.col("error").isNull()

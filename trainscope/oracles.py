@@ -330,7 +330,7 @@ BODIES = {
             FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY "timestamp" DESC, id) AS no FROM polled) GROUP BY ALL) l
             ON l.node = r.node AND r.error IS NULL
           WHERE r.error IS NOT NULL OR r.n > 0)""",
-    "alert_marks": "SELECT id, true AS processed, 1706659200000 AS processed_at, CAST(7 AS BIGINT) AS seq FROM polled",
+    "alert_marks": "SELECT id, true AS processed, 1706659200000 AS processed_at, CAST(7 AS BIGINT) AS seq FROM polled WHERE node IN (SELECT node FROM asked WHERE error IS NULL)",
     "version_report": """
         SELECT string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(DISTINCT version) > 1 AS mismatch,
           count(version) = 0 AS "none" FROM agents WHERE error IS NULL""",

@@ -83,7 +83,7 @@ def suspicious_ranks(spark, sf):
 
 @query
 def suspicious_nodes(spark, sf):
-    status = rank_silence(X.log_lines(spark, sf), X.rank_ranges(spark, sf), X.AS_OF)
+    status = rank_silence(X.log_lines(spark, sf), X.rank_ranges(spark, sf), X.AS_OF, inclusive=False)
     return L.suspicious_nodes(status, X.HANG_SECONDS)
 
 
@@ -95,7 +95,7 @@ def suspicious_nodes_inclusive(spark, sf):
 
 @query
 def rank_range_filter(spark, sf):
-    return L.filter_rank_range(X.log_lines(spark, sf), X.rank_ranges(spark, sf)).select("node", "rank", "line_no")
+    return L.filter_rank_range(X.log_lines(spark, sf), X.rank_ranges(spark, sf), inclusive=False).select("node", "rank", "line_no")
 
 
 @query
@@ -256,8 +256,8 @@ def suspect_stacks(spark, sf):
 @query
 def hang_verdicts(spark, sf):
     report = hang_check(X.log_lines(spark, sf), X.snapshots(spark, sf), X.AS_OF, X.rank_ranges(spark, sf),
-                        threshold=X.HANG_SECONDS)
-    return report.verdicts.join(report.nodes, "node").select(
+                        threshold=X.HANG_SECONDS, inclusive=False)
+    return report.nodes.join(report.verdicts, "node", "left").select(
         "node", "rank", "suspend_seconds", "snapshot_no", "verdict", "diffs", F.coalesce("error", F.lit("")).alias("error"))
 
 

@@ -6,17 +6,16 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from trainscope.operators import logs as L
 from trainscope.operators import snapshots as S
-from trainscope.schemas import DEFAULT_HANG_SECONDS, DEFAULT_SAMPLES, DEFAULT_TAIL_LINES
+from trainscope.schemas import DEFAULT_HANG_SECONDS, DEFAULT_TAIL_LINES
 from trainscope.session import stored
 
 
 def rank_silence(lines: DataFrame, ranges: DataFrame | None, as_of: Column | dt.datetime | str,
                  n: int = DEFAULT_TAIL_LINES, files: DataFrame | None = None,
-                 failed: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
+                 failed: DataFrame | None = None, inclusive: bool = True) -> DataFrame:
     """Silence of every rank from its last ``n`` lines; expected ranks if ranges are given."""
     parsed = L.parse_log_lines(L.tail_lines(lines, n), keep_bad_time=True)
     status = L.suspend_seconds(L.latest_log_time(L.rank_status(parsed)), as_of)
@@ -38,21 +37,16 @@ class HangReport:
 
 def hang_check(lines: DataFrame, snaps: DataFrame, as_of: Column | dt.datetime | str,
                ranges: DataFrame | None = None, n: int = DEFAULT_TAIL_LINES,
-               threshold: int = DEFAULT_HANG_SECONDS, samples: int = DEFAULT_SAMPLES,
-               files: DataFrame | None = None, check_long_lines: bool = True,
-               inclusive: bool = False) -> HangReport:
+               threshold: int = DEFAULT_HANG_SECONDS, files: DataFrame | None = None,
+               inclusive: bool = True) -> HangReport:
     """Silent ranks, their nodes, and stack differences on those nodes only.
 
     The silent nodes are stored at once: the list is short, and the logs would
-    otherwise be read again for each table that follows from it.  A line over the size limit makes its rank unreadable; ``check_long_lines``
-    costs one more pass over line lengths.
+    otherwise be read again for each table that follows from it.
     """
-    failed = None
-    if check_long_lines and ranges is not None:
-        failed = L.oversized_ranks(lines).select("node", "rank_no", F.lit("token too long").alias("reason"))
-    status = rank_silence(lines, ranges, as_of, n, files, failed, inclusive)
+    status = rank_silence(lines, ranges, as_of, n, files, inclusive=inclusive)
     nodes = stored(L.suspicious_nodes(status, threshold), "suspects")
     suspects = S.stacks_for_suspects(snaps, nodes)
-    errors = S.pair_errors(suspects, samples)
-    diffs = S.stack_diffs(suspects, samples, errors=errors)
-    return HangReport(status, nodes, errors, diffs, S.snapshot_verdict(suspects, diffs, errors, samples))
+    errors = S.pair_errors(suspects)
+    diffs = S.stack_diffs(suspects, errors=errors)
+    return HangReport(status, nodes, errors, diffs, S.snapshot_verdict(suspects, diffs, errors))

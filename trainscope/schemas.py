@@ -25,7 +25,6 @@ SEVERITIES = {"INFO": 0, "WARNING": 1, "ERROR": 2, "CRITICAL": 3}
 # --- Fixed values: defaults and limits --------------------------------------
 DEFAULT_TAIL_LINES = 30
 DEFAULT_HANG_SECONDS = 120
-DEFAULT_SAMPLES = 5
 MAX_LINE_BYTES = 1024 * 1024
 NO_TIME_SECONDS = -10
 EARLIEST_VALID_TIME = "2000-01-01T00:00:00Z"
