@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from bisect import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -21,6 +21,8 @@ from trainscope.llm.words import Words, grams, mix, pieces, runs, signed, words_
 BROADCAST_ROWS = 1 << 20
 #: Shingles in one block of documents that a task searches at a time.
 BLOCK = 1 << 17
+#: Entries that a heap merges; it takes about a microsecond for each.
+HEAP = 64
 
 
 # --- sets ------------------------------------------------------------------------------
@@ -48,6 +50,18 @@ def needed(size: int, num: int, den: int) -> int:
 
 # --- T-occurrence search ----------------------------------------------------------------
 
+def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries of sorted lists, and in how many lists each stands.
+
+    A heap merges them one entry at a time; lists of more than ``HEAP`` entries together are merged as
+    the runs of one array, which gives the same order.
+    """
+    if sum(map(len, lists)) <= HEAP:
+        found = [(place, len(list(same))) for place, same in groupby(heapq.merge(*(one.tolist() for one in lists)))]
+        return np.array([p for p, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+    return np.unique(np.sort(np.concatenate(lists), kind="stable"), return_counts=True)
+
+
 class Lists:
     """Inverted lists over a block of sets: for each shingle the sorted places of the sets that hold it."""
 
@@ -59,9 +73,14 @@ class Lists:
         self.place = place[order]
         self.token, self.start = np.unique(every[order], return_index=True)
         self.stop = np.append(self.start[1:], len(every))
+        # Each list's number, then the place: rises over all lists, so one probe may ask many of them.
+        self.entry = np.repeat(np.arange(len(self.token)), self.stop - self.start) * max(1, len(sets)) + self.place
+
+    def search(self, query: np.ndarray, num: int, den: int, own: int | None = None, sought: Callable[[int], bool] | None = None) -> list[int]:
+        """Places of the sets with den * |both| >= num * |either|, of those that are sought.
 
-    def search(self, query: np.ndarray, num: int, den: int) -> list[int]:
-        """Places of the sets with den * |both| >= num * |either|."""
+        ``own`` is the query's place if its set is in the block; it is not returned then.
+        """
         if not len(query) or not len(self.token):
             return []
         at = np.searchsorted(self.token, query)
@@ -70,22 +89,28 @@ class Lists:
         least = needed(len(query) + least, num, num + den)  # overlap with the smallest set that may link
         if len(at) < least:
             return []
-        at = at[np.argsort(self.stop[at] - self.start[at], kind="stable")]
-        longest = int(self.stop[at[-1]] - self.start[at[-1]])
+        length = self.stop[at] - self.start[at]
+        order = np.argsort(length, kind="stable")
+        at, length = at[order], length[order]
         # DivideSkip: so many of the longest lists are probed, the others are merged.
-        n_long = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
-        short, long = at[:len(at) - n_long], at[len(at) - n_long:]
-        merged = heapq.merge(*(self.place[self.start[t]:self.stop[t]].tolist() for t in short))
-        counts = [(place, sum(1 for _ in same)) for place, same in groupby(merged)]
-        counts = [(p, n) for p, n in counts if n >= least - n_long]
-        if not counts:
+        n_long = min(least - 1, int(least / (0.01 * np.log2(int(length[-1]) + 1) + 1)))
+        cut = len(at) - n_long
+        first = int(np.searchsorted(length[:cut], 2)) if own is not None else 0  # lists before hold the query's set alone
+        if int(length[first:cut].sum()) - (cut - first if own is not None else 0) < least - n_long:
+            return []
+        places, overlap = _merged([self.place[self.start[t]:self.stop[t]] for t in at[first:cut]])
+        size = self.sizes[places]
+        near = (den * np.minimum(size, len(query)) >= num * np.maximum(size, len(query))) & (places != own if own is not None else True)
+        near &= overlap + n_long >= -(-num * (len(query) + size) // (num + den))
+        if sought is not None:
+            near[near] = [sought(p) for p in places[near].tolist()]
+        places, overlap, size = places[near], overlap[near], size[near]
+        if not len(places):
             return []
-        places, overlap = (np.array(x, np.int64) for x in zip(*counts))
-        for t in long:
-            one = self.place[self.start[t]:self.stop[t]]
-            probe = np.searchsorted(one, places)
-            overlap += one[np.minimum(probe, len(one) - 1)] == places
-        return places[den * overlap >= num * (len(query) + self.sizes[places] - overlap)].tolist()
+        asked = at[cut:, None] * len(self.sizes) + places[None, :]
+        probe = np.searchsorted(self.entry, asked)
+        overlap = overlap + (self.entry[np.minimum(probe, len(self.entry) - 1)] == asked).sum(0)
+        return places[den * overlap >= num * (len(query) + size - overlap)].tolist()
 
 
 def _block_edges(ids: list[int], sets: list[np.ndarray], group: list[int], queries: list[int], centre: int | None, num: int, den: int) -> list[tuple[int, int]]:
@@ -93,6 +118,7 @@ def _block_edges(ids: list[int], sets: list[np.ndarray], group: list[int], queri
 
     ``group`` gives what is connected already.  A query is left out once it is connected with the
     centre: whoever is not searches for itself, so a link between two components is found from one side.
+    After the centre come the sets whose shingles are the most common, for they link with the most.
     """
     root = {g: g for g in group}
 
@@ -103,10 +129,13 @@ def _block_edges(ids: list[int], sets: list[np.ndarray], group: list[int], queri
         return g
 
     lists, edges = Lists(sets), []
-    for q in queries:
+    length = lists.stop - lists.start
+    common = {q: length[np.searchsorted(lists.token, sets[q])].mean() for q in queries if q != centre and len(sets[q])}
+    for q in [q for q in queries if q == centre] + sorted(common, key=lambda q: (-common[q], q)):
         if centre is not None and q != centre and top(group[q]) == top(group[centre]):
             continue
-        for p in lists.search(sets[q], num, den):
+        mine = top(group[q])
+        for p in lists.search(sets[q], num, den, q, lambda p: top(group[p]) != mine):
             a, b = top(group[q]), top(group[p])
             if a != b:
                 root[a] = b
@@ -224,11 +253,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     linked, the component is null.  Other columns are ignored.
 
     Documents with equal sets count once from here on; a set is named by a 64-bit digest.  Sets that
-    link share a signature; all who share one meet at the smallest digest among them, the centre.  A
-    centre's sets are split into blocks of about ``BLOCK`` shingles, and each block is searched by
-    T-occurrence: whoever links with the centre is connected through it, and whoever does not is
-    searched against the block, and then against every other block of that centre.  So no link between
-    components is missed, and the links inside one need not all be listed.
+    link share a signature; all who share one meet under the smallest digest among them.  Of those who
+    meet, the set that shares the most signatures is the centre.  They are split into blocks of about
+    ``BLOCK`` shingles, and each block is searched by T-occurrence: whoever links with the centre is
+    connected through it, and whoever does not is searched against the block, and then against every
+    other block under that digest.  So no link between components is missed, and the links inside one
+    need not all be listed.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
@@ -237,26 +267,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     signed_ = told.select(F.explode("signatures").alias("signature"), "v")
     shared = signed_.groupBy("signature").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last")
     shared = stored(shared.select("signature", "c"), "jaccard-shared")
-    pairs = signed_.join(_few(shared), "signature").select("c", "v").distinct()
-    met = stored(pairs.join(classes, "v").select("c", "v", "n", "uid"), "jaccard-met")
+    pairs = signed_.join(_few(shared), "signature").groupBy("c", "v").agg(F.count("*").alias("shared"))
+    met = stored(pairs.join(classes, "v").select("c", "v", "shared", "n", "uid"), "jaccard-met")
     wanted = stored(met.select("v", "uid").distinct(), "jaccard-wanted")
     sets = stored(_set_rows(docs, _few(wanted), k), "jaccard-sets")
 
-    size = met.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("blocks"))
+    size = met.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("blocks"),
+                                F.max_by("v", F.struct("shared", "v")).alias("centre"))
     placed = met.select("c", "v", "n").join(size, "c")
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    members = (placed.where("c != v").select("c", "v", own.alias("block"), F.lit(1).alias("role"))
-               .unionByName(placed.where("c = v").select("c", "v", everywhere.alias("block"), F.lit(0).alias("role"))))
+    members = (placed.where("centre != v").select("c", "v", own.alias("block"), F.lit(1).alias("role"))
+               .unionByName(placed.where("centre = v").select("c", "v", everywhere.alias("block"), F.lit(0).alias("role"))))
     edges = stored(_search(members.withColumns({"part": F.lit(0), "own": F.col("v")}).join(sets, "v"), num, den), "jaccard-edges")
     found = connected_components(edges)
 
     # Of centres with several blocks: whoever is not connected with the centre by now is searched everywhere.
     split = placed.where("blocks > 1")
     root = stored(found, "jaccard-roots")
-    apart = (split.join(root, "v", "left").select("c", "v", "n", "blocks", F.coalesce("root", "v").alias("own"))
-             .join(root.select(F.col("v").alias("c"), F.col("root").alias("c_root")), "c", "left")
-             .where(F.col("own") != F.coalesce("c_root", "c")).select("c", "v", "n", "blocks"))
+    apart = (split.join(root, "v", "left").select("c", "v", "n", "blocks", "centre", F.coalesce("root", "v").alias("own"))
+             .join(root.select(F.col("v").alias("centre"), F.col("root").alias("centre_root")), "centre", "left")
+             .where(F.col("own") != F.coalesce("centre_root", "centre")).select("c", "v", "n", "blocks"))
     apart = stored(apart, "jaccard-apart")
     if not apart.isEmpty():
         parts = apart.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("parts"))
