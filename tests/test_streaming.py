@@ -36,7 +36,7 @@ def test_hang_stream(spark, tmp_path):
     # a pauses for exactly the limit, b for one second more, c stops.
     batches = [[said("a", 0), said("b", 0), said("c", 0), ("n", "a", "noise")], [said("a", 120), said("b", 121)],
                [said("a", 200), said("b", 200)], [said("a", 300), said("b", 300)]]
-    found = drain(stream_hang_detection(files(spark, tmp_path, batches, LINES)), spark, "hang")
+    found = drain(stream_hang_detection(files(spark, tmp_path, batches, LINES), "0 seconds"), spark, "hang")
     start = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc).timestamp()
     got = {(r.rank, r.at - start, r.lines) for r in found.select("rank", F.unix_seconds("last_line").alias("at"), "lines").collect()}
     assert got == {("b", 0, 1), ("c", 0, 1)}
@@ -45,7 +45,7 @@ def test_hang_stream(spark, tmp_path):
 def test_hang_stream_with_heartbeat(spark, tmp_path):
     lines = files(spark, tmp_path, [[said("a", 0)]], LINES)
     beats = files(spark, tmp_path / "beat", [[(dt.datetime(2025, 1, 1, 0, 0, 10),)], [(dt.datetime(2025, 1, 1, 1),)]], "ts timestamp")
-    found = drain(stream_hang_detection(lines, heartbeat=beats), spark, "beat").collect()
+    found = drain(stream_hang_detection(lines, "0 seconds", heartbeat=beats), spark, "beat").collect()
     assert [(r.rank, r.lines) for r in found] == [("a", 1)]
 
 
@@ -64,7 +64,7 @@ def test_marks_are_the_same_when_a_batch_runs_again(spark, tmp_path):
     source = files(spark, tmp_path, [[("e1", "s", "alert", "j", 1000, 2, False)], [("e2", "s", "alert", "j", 2000, 2, False)]], EVENTS)
     ledger = work_path(spark, "ledger")
     for _ in range(2):  # A fresh checkpoint makes every batch run again.
-        (SA.write_marks(SA.stream_alerts(source), ledger, work_path(spark, "cp"), 50)
+        (SA.write_marks(SA.stream_alerts(source), ledger, work_path(spark, "cp"), 50, "a")
          .trigger(availableNow=True).start().awaitTermination())
     marks = spark.read.parquet(ledger)
     assert sorted((r.id, r.processed, r.processed_at, r.seq) for r in marks.collect()) == [("e1", True, 50, 0), ("e2", True, 50, 1)]
@@ -72,6 +72,22 @@ def test_marks_are_the_same_when_a_batch_runs_again(spark, tmp_path):
     assert [r.id for r in E.unprocessed(events, marks).collect()] == ["e9"]
 
 
+def test_two_streams_keep_both_marks(spark, tmp_path):
+    ledger = work_path(spark, "ledger")
+    for name in ("e1", "e2"):
+        source = files(spark, tmp_path / name, [[(name, "s", "alert", "j", 1000, 2, False)]], EVENTS)
+        (SA.write_marks(SA.stream_alerts(source), ledger, work_path(spark, "cp"), 50, name)
+         .trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r.id for r in spark.read.parquet(ledger).collect()) == ["e1", "e2"]
+
+
+def test_an_alert_a_day_late_is_delivered(spark, tmp_path):
+    day = 86_400_000
+    batches = [[(name, "s", "alert", "j", at, 2, False)] for name, at in (("e1", 9 * day), ("e2", 9 * day + 1), ("e3", 8 * day), ("e4", day))]
+    found = drain(SA.stream_alerts(files(spark, tmp_path, batches, EVENTS)), spark, "late").collect()
+    assert sorted(r.id for r in found) == ["e1", "e2", "e3", "e4"]
+
+
 def test_ingest_ids_do_not_change(spark, tmp_path):
     good = '{"msg_type":"text","content":{"text":"hi"}}'
     source = files(spark, tmp_path, [[(1, good), (2, "{")], [(3, good)]], "offset bigint, body string")
@@ -89,6 +105,6 @@ def test_metrics_stream(spark, tmp_path):
     t = lambda s: dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
     batches = [[("m", None, t(1)), ("m", None, t(14)), ("m", "x", t(2))], [("m", None, t(16))], [("m", None, t(500))]]
     source = files(spark, tmp_path, batches, "method string, error string, ts timestamp")
-    found = running_totals(drain(stream_request_metrics(source), spark, "metrics"))
+    found = running_totals(drain(stream_request_metrics(source, "1 minute"), spark, "metrics"))
     got = sorted((r.status, r.requests, r.total) for r in found.collect())
     assert got == [("error", 1, 1), ("success", 1, 3), ("success", 2, 2)]

@@ -433,7 +433,7 @@ def _drain(df: DataFrame, name: str) -> DataFrame:
 
 @query
 def stream_hang(spark, sf):
-    found = _drain(stream_hang_detection(X.log_lines_of(_stream(spark, sf, "events")), 7200), "hang")
+    found = _drain(stream_hang_detection(X.log_lines_of(_stream(spark, sf, "events")), "0 seconds", 7200), "hang")
     return found.select("node", "rank", FT.format_rfc3339("last_line").alias("last_line"), "lines")
 
 
@@ -458,12 +458,12 @@ def stream_ingest(spark, sf):
 def stream_mark_processed(spark, sf):
     delivered = SA.stream_alerts(X.event_store_of(_stream(spark, sf, "events")), 1)
     out = work_path(spark, "ledger")
-    SA.write_marks(delivered, out, work_path(spark, "ledger-checkpoint"), X.AS_OF_MS).trigger(availableNow=True).start().awaitTermination()
+    SA.write_marks(delivered, out, work_path(spark, "ledger-checkpoint"), X.AS_OF_MS, "a").trigger(availableNow=True).start().awaitTermination()
     marks = spark.read.schema(LEDGER_SCHEMA).parquet(out)
     return E.apply_processed(X.event_store(spark, sf), marks).select("id", "processed", "processed_at")
 
 
 @query
 def stream_metrics(spark, sf):
-    found = _drain(stream_request_metrics(X.rpc_of(_stream(spark, sf, "lineitem")), "1 day", "0 seconds"), "metrics")
+    found = _drain(stream_request_metrics(X.rpc_of(_stream(spark, sf, "lineitem")), "0 seconds", "1 day"), "metrics")
     return running_totals(found).select(FT.format_rfc3339("start").alias("start"), "method", "status", "requests", "total")

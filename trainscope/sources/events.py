@@ -34,8 +34,9 @@ def read_event_files(spark: SparkSession, base: str, node_rank: int | str | None
 
 
 def rejected_event_files(spark: SparkSession, base: str, node_rank: int | str | None = None) -> DataFrame:
-    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null and events is null")
-    return bad.select("path", F.col("_corrupt_record").alias("content"))
+    """Files that ``read_event_files`` leaves out, also half-readable ones, with the number of events parsed."""
+    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null")
+    return bad.select("path", F.col("_corrupt_record").alias("content"), F.greatest(F.size("events"), F.lit(0)).alias("parsed"))
 
 
 def read_event_store(spark: SparkSession, path: str) -> DataFrame:

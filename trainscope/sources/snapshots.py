@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trainscope.functions.logs import _lookup
@@ -35,8 +35,11 @@ def read_process_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Processes of saved snapshot files, in either spelling.
 
     A file holds one or more JSON documents, appended: objects with a list of
-    processes, or a list of such lists.  ``snapshot_no`` counts the samples of a
-    file.  Each file is the saved answer of one node, so it fits one row.
+    processes, or a list of such lists.  Node and ``snapshot_time`` stand in the
+    file's name (``node<node>_processInfo_<time>``).  ``snapshot_no`` counts the
+    samples of a node over its files, by time, then by place in the file; a file
+    whose name has no node is counted by itself, and without a time its
+    ``snapshot_time`` is empty.
     """
     files = (spark.read.text(path, wholetext=True)
              .select(F.col("_metadata.file_path").alias("path"), "value"))
@@ -48,9 +51,15 @@ def read_process_snapshots(spark: SparkSession, path: str) -> DataFrame:
     is_list = F.ltrim(F.col("doc")).startswith("[")
     samples = F.when(is_list, F.col("samples")).otherwise(F.array(F.coalesce(
         single, F.array().cast(f"array<{_PROCESS}>"))))
-    exploded = (nested.select("path", "doc_no", F.posexplode(samples).alias("sample_no", "processes"))
-                .select("path", (F.col("doc_no") + F.col("sample_no")).alias("snapshot_no"),
-                        F.explode("processes").alias("p")))
-    name = F.regexp_extract("path", r"node(.+)_processInfo_", 1)
-    node = F.regexp_extract(F.regexp_replace("path", r"\A.*/", ""), r"\Anode(.+)_processInfo_", 1)
-    return exploded.select(F.when(name != "", node).alias("node"), "path", "snapshot_no", *_process_columns("p"))
+    name = F.regexp_replace("path", r"\A.*/", "")
+    node = F.regexp_extract(name, r"\Anode(.+)_processInfo_", 1)
+    day, clock = (F.regexp_extract(name, r"_processInfo_(\d{4}-\d\d-\d\d)_(\d\d-\d\d-\d\d)", g) for g in (1, 2))
+    taken = (nested.select("path", "doc_no", F.posexplode(samples).alias("sample_no", "processes"))
+             .withColumns({"node": F.when(node != "", node),
+                           "snapshot_time": F.trim(F.concat_ws(" ", day, F.translate(clock, "-", ":")))}))
+    # Numbers come from the narrow list of samples, so stacks are not sorted.
+    place = ["path", "doc_no", "sample_no"]
+    order = Window.partitionBy(F.coalesce("node", "path")).orderBy("snapshot_time", *place)
+    numbers = taken.select(*place, (F.row_number().over(order) - 1).alias("snapshot_no"))
+    rows = taken.join(numbers, place).withColumn("p", F.explode("processes"))
+    return rows.select("node", "path", "snapshot_no", "snapshot_time", *_process_columns("p"))

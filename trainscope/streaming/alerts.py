@@ -12,13 +12,17 @@ from trainscope.sinks.tables import event_day
 from trainscope.sources.events import payload_events
 
 
-def stream_alerts(events: DataFrame, min_severity: int = 0, lateness: str = "1 hour") -> DataFrame:
+def stream_alerts(events: DataFrame, min_severity: int = 0, lateness: str | None = None) -> DataFrame:
     """New alerts, each id once.
 
     The checkpoint of the query takes the place of the last poll's end and of the
-    processed flag.
+    processed flag.  Alerts of any age are delivered and the state holds every id
+    seen; with ``lateness`` it forgets ids that old, and alerts that come later
+    than that are left out.
     """
     wanted = filter_events(events, EventFilter(min_severity=min_severity, type=DEFAULT_EVENT_TYPE, unprocessed=True))
+    if lateness is None:
+        return wanted.dropDuplicates(["id"])
     timed = wanted.withColumn("event_time", F.timestamp_millis("timestamp"))
     return timed.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["id"])
 
@@ -41,13 +45,15 @@ def write_event_stream(events: DataFrame, path: str, checkpoint: str) -> DataStr
             .format("parquet").partitionBy("event_date").outputMode("append"))
 
 
-def write_marks(returned: DataFrame, ledger_path: str, checkpoint: str, now_ms: int | Column) -> DataStreamWriter:
+def write_marks(returned: DataFrame, ledger_path: str, checkpoint: str, now_ms: int | Column,
+                stream_id: str) -> DataStreamWriter:
     """Append a processed mark per delivered alert.
 
-    Each batch owns one folder of the ledger and replaces it whole, so a batch
-    that is run again after a failure leaves the same marks.
+    Each batch of a stream owns one folder of the ledger and replaces it whole, so
+    a batch that is run again after a failure leaves the same marks.  A new
+    checkpoint counts its batches from 0 again and needs a ``stream_id`` of its own.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        marks_for(batch, now_ms, batch_id).write.mode("overwrite").parquet(f"{ledger_path}/batch_id={batch_id}")
+        marks_for(batch, now_ms, batch_id).write.mode("overwrite").parquet(f"{ledger_path}/stream_id={stream_id}/batch_id={batch_id}")
 
     return returned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)

@@ -9,14 +9,16 @@ from trainscope.functions.logs import log_entry
 from trainscope.schemas import DEFAULT_HANG_SECONDS
 
 
-def stream_hang_detection(lines: DataFrame, threshold: int = DEFAULT_HANG_SECONDS,
-                          lateness: str = "0 seconds", heartbeat: DataFrame | None = None) -> DataFrame:
+def stream_hang_detection(lines: DataFrame, lateness: str, threshold: int = DEFAULT_HANG_SECONDS,
+                          heartbeat: DataFrame | None = None) -> DataFrame:
     """One row each time a rank has been silent for more than ``threshold`` seconds.
 
     Silence is measured in whole seconds and must exceed the threshold, so lines
     less than ``threshold + 1`` seconds apart form one session; sessions that
     just touch are merged, hence the missing microsecond.  In append mode the session is sent out once the watermark
-    has passed its end.  ``heartbeat`` is a stream with a ``ts`` column that
+    has passed its end.  ``lateness`` must cover the time by which files of one
+    rank may arrive after those of another, or ranks seem silent that are not.
+    ``heartbeat`` is a stream with a ``ts`` column that
     moves the watermark when every rank is silent; it adds no rows.
     """
     entry = log_entry("line")

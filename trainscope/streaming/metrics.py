@@ -9,7 +9,7 @@ from trainscope.operators.fleet import _status
 from trainscope.schemas import METRICS_INTERVAL
 
 
-def stream_request_metrics(rpc: DataFrame, interval: str = METRICS_INTERVAL, lateness: str = "1 minute") -> DataFrame:
+def stream_request_metrics(rpc: DataFrame, lateness: str, interval: str = METRICS_INTERVAL) -> DataFrame:
     """Requests per push interval, method and status."""
     return (rpc.withWatermark("ts", lateness)
             .groupBy(F.window("ts", interval), "method", _status().alias("status"))
