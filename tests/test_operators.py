@@ -99,8 +99,10 @@ def test_nested_records(spark):
     got = L.merge_rank_logs(status).first()
     assert [e.message for e in got.entries] == ["b", "a"] and got.suspend_seconds == 120
     ranges = spark.createDataFrame([("n0", 0, 2)], "node string, min_rank int, max_rank int")
-    full = {r.rank_no: [e.message for e in r.entries] for r in L.merge_rank_logs(L.complete_ranks(ranges, status)).collect()}
-    assert full == {0: ["b", "a"], 1: ["Log reading failed: no such file"]}
+    absent = ["Log reading failed: no such file"]
+    for inclusive, want in ((False, {0: ["b", "a"], 1: absent}), (True, {0: ["b", "a"], 1: absent, 2: absent})):
+        full = L.merge_rank_logs(L.complete_ranks(ranges, status, inclusive=inclusive)).collect()
+        assert {r.rank_no: [e.message for e in r.entries] for r in full} == want
 
 
 def test_latest_run_dir(spark):
