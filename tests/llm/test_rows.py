@@ -72,6 +72,25 @@ def test_decontamination(spark):
     assert D.contaminated_passages(docs, items.limit(0)).count() == 0 and D.contaminated_passages(documents(spark, []), items).count() == 0
 
 
+@pytest.mark.parametrize("every", [4, 5])
+@pytest.mark.parametrize("exact", [False, True])
+def test_decontamination_of_thickly_edited_copies(spark, every, exact):
+    item = [f"w{i}" for i in range(30)]
+    edited = " ".join("x" if i % every == every - 1 else w for i, w in enumerate(item))
+    table = [(50, "a b c " + edited + " d e f", "en", "a", 0)] + [(60, " ".join(item), "en", "a", 0)] * exact
+    docs, items = documents(spark, table), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = [(50, 1, 3, 32 - (every == 5))] + [(60, 1, 0, 29)] * exact
+    assert rows(D.contaminated_passages(docs, items), "doc_id", "item_id", "first_word", "last_word") == want
+    assert D.without_contamination(docs, items).count() == 0
+
+
+def test_decontamination_tells_copies_with_repeated_seeds_apart(spark):
+    item = "the one of " + " ".join(f"w{i}" for i in range(9)) + " the one of " + " ".join(f"v{i}" for i in range(9))
+    docs = documents(spark, [(1, "a " * 40 + item + " " + item + " a" * 40, "en", "a", 0)])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert rows(D.contaminated_passages(docs, items), "first_word", "last_word", "similarity") == [(40, 63, 1.0), (64, 87, 1.0)]
+
+
 def test_top_k_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     table = [(i, [0.5, 0.25]) for i in range(0, 300)] + [(700, None), (800, [nan, 1.0]), (900, [inf, 1.0]), (1000, [None, 1.0]), (None, [1.0, 1.0]), (1, [0.9, 0.9])]

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainscope.llm.common import small_batches, table
-from trainscope.llm.counting import total_counts
 from trainscope.llm.words import MARKS, grams, pieces, words_of
 
-#: Words of a seed, and neighbouring seeds of an item of which the rarest is kept.
-SEED, WINDOW = 3, 4
+#: Words of a seed.
+SEED = 3
 #: Alignment: match, mismatch and gap.
 MATCH, MISS, GAP = 2, -1, -1
 #: Bytes of items that are compared with the documents at a time.
@@ -37,9 +36,6 @@ class Items:
         self.item = np.repeat(np.arange(len(found)), [len(g) for g in found]).astype(np.int64)
         self.place = np.concatenate([np.arange(len(g)) for g in found] or [[]]).astype(np.int64)
         self.seed = np.concatenate(found or [np.zeros(0, np.uint64)])
-        self._index()
-
-    def _index(self) -> None:
         order = np.argsort(self.seed, kind="stable")
         self.seed, self.item, self.place = self.seed[order], self.item[order], self.place[order]
         self.distinct, self.start = np.unique(self.seed, return_index=True)
@@ -56,18 +52,6 @@ class Items:
         same = self.distinct[which] == seeds[at]
         return at[same], which[same]
 
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Of every ``WINDOW`` neighbouring seeds of an item keep the one that fewest documents' passages hold."""
-        rarity = np.repeat(counts, self.count)
-        order = np.lexsort((self.place, self.item))
-        chosen = np.zeros(len(self.seed), bool)
-        for at in np.split(order, np.flatnonzero(np.diff(self.item[order])) + 1) if len(order) else []:
-            key = list(zip(rarity[at], self.seed[at], at))
-            for i in range(max(1, len(key) - WINDOW + 1)):
-                chosen[min(key[i:i + WINDOW])[2]] = True
-        self.seed, self.item, self.place = self.seed[chosen], self.item[chosen], self.place[chosen]
-        self._index()
-
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best Smith-Waterman score of each pair, and the first and last word of it in the passage.
@@ -124,27 +108,37 @@ def _passages(texts: pa.Array, items: Items, least: float) -> list[list[dict]]:
     row, item, begin = row[order], item[order], begin[order]
     length = np.array([len(w) for w in items.words])[item]
     pad = np.maximum(4, length // 4)
+    # Windows of an item that overlap are one, so no passage is found twice.
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > pad[1:])
+    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > (length + 2 * pad)[1:])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(row)) - 1
     low = np.maximum(begin[head] - pad[head], words.first[row[head]])
     high = np.minimum(begin[tail] + length[head] + pad[head], words.first[row[head] + 1])
-    # Pairs of like length go together, in lots of bounded size.
-    order = np.argsort(length[head] + high - low, kind="stable")
-    lot: list[int] = []
-    for k, i in enumerate(order):
-        lot.append(i)
-        if k + 1 < len(order) and len(lot) * int(length[head[order[k + 1]]] + 1) < 1 << 16:
-            continue
-        best, first, last = align([items.words[item[head[i]]] for i in lot], [words.hash[low[i]:high[i]] for i in lot])
-        for i, s, a, b in zip(lot, best.tolist(), first.tolist(), last.tolist()):
-            share = s / (MATCH * int(length[head[i]]))
-            if share >= least:
-                r, offset = int(row[head[i]]), int(low[i] - words.first[row[head[i]]])
-                out[r].append({"item_id": items.ids[item[head[i]]], "score": s, "similarity": share,
-                               "first_word": offset + a, "last_word": offset + b})
-        lot = []
+    row, item, length = row[head], item[head], length[head]
+    while len(row):
+        rest: list[tuple[int, int, int]] = []
+        # Pairs of like length go together, in lots of bounded size.
+        order = np.argsort(length + high - low, kind="stable")
+        lot: list[int] = []
+        for k, i in enumerate(order):
+            lot.append(i)
+            if k + 1 < len(order):
+                j = order[k + 1]
+                if len(lot) * int(length[j] + 1) < 1 << 16 and len(lot) * int(length[j] + high[j] - low[j]) < 1 << 20:
+                    continue
+            best, first, last = align([items.words[item[i]] for i in lot], [words.hash[low[i]:high[i]] for i in lot])
+            for i, s, a, b in zip(lot, best.tolist(), first.tolist(), last.tolist()):
+                share = s / (MATCH * int(length[i]))
+                if s and share >= least:
+                    offset = int(low[i] - words.first[row[i]])
+                    out[row[i]].append({"item_id": items.ids[item[i]], "score": s, "similarity": share,
+                                        "first_word": offset + a, "last_word": offset + b})
+                    # What the window holds before and after may be another copy if it has words enough.
+                    rest += [(i, x, y) for x, y in ((low[i], low[i] + a), (low[i] + b + 1, high[i])) if y - x >= max(SEED, least * length[i])]
+            lot = []
+        i, low, high = (np.array([r[n] for r in rest], np.int64) for n in range(3))
+        row, item, length = row[i], item[i], length[i]
     return out
 
 
@@ -160,7 +154,7 @@ def _finder(items: Items, least: float) -> Column:
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame):
-    """The items in blocks of bounded size, each with its rare seeds."""
+    """The items in blocks of bounded size."""
     small_batches(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     sums = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -168,30 +162,22 @@ def _blocks(docs: DataFrame, benchmark: DataFrame):
     for i in range(n):
         own = sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect())
         block = Items([r[0] for r in own], [r[1] for r in own])
-        if not len(block.distinct):
-            continue
-
-        def count(total, piece, block=block):
-            words = words_of(piece.column(0), MARKS)
-            np.add.at(total, block.found(grams(words.hash, SEED))[1], 1)
-
-        block.keep_rare(total_counts(docs.select("text"), count, len(block.distinct)))
-        yield block
+        if len(block.distinct):
+            yield block
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """``(doc_id, item_id, score, similarity, first_word, last_word)``: passages of documents that copy an item.
 
     Words are runs without ASCII white space and punctuation, A-Z as lower case.  The seeds of an item
-    are its runs of three words; of each four neighbours the one that occurs least in all documents is
-    kept, so a run of six words without an edit always has a seed.  Where a document holds a seed, the
-    item is aligned with the passage around it, up to a quarter of the item longer on both sides, and
-    the passage counts when its score is at least ``least`` of that of an exact copy.
-
-    Items go to the tasks in blocks of ``BLOCK`` bytes; each block reads all documents twice (counts of
-    seeds, then search), and documents are never shuffled.  Null and empty texts have no passages;
-    items without text, id or three words find nothing.  A document row that is repeated is reported
-    as often.  No passages give no rows.
+    are all its runs of three words.  Where a document holds a seed, the item is aligned with the passage
+    around it, up to a quarter of the item longer on both sides, and the passage counts when its score is
+    at least ``least`` of that of an exact copy.  Before and after that passage the same is done again, so
+    copies that follow each other all count.  A copy without three words in a row of its item is not found.
+
+    Items go to the tasks in blocks of ``BLOCK`` bytes; each block reads all documents once, and documents
+    are never shuffled.  Null and empty texts have no passages; items without text, id or three words
+    find nothing.  A document row that is repeated is reported as often.  No passages give no rows.
     """
     found = None
     for block in _blocks(docs, benchmark):
