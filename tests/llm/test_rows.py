@@ -136,6 +136,23 @@ def test_automaton_against_edit_distance():
     assert got.tolist() == want
 
 
+def test_inflected_and_misspelled_forms_leave_a_term_its_edits(spark):
+    forms = ["rascal"] * 8 + ["rascals", "raxcal"]
+    table = [(i, f"a{i} b{i} {forms[i % 10]} c{i} d{i}", "en", "a", 0) for i in range(400)]
+    table += [(i, f"a{i} b{i} fine c{i} d{i}", "en", "a", 0) for i in range(400, 1200)]
+    asked = {2000: "razcal", 2001: "rscal", 2002: "rascalls", 2003: "rascally", 2004: "rapid"}
+    docs = documents(spark, table + [(i, f"so {w} it is", "en", "a", 0) for i, w in asked.items()])
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(1200)], "doc_id long, toxic int")
+    model = T.learn_toxicity(docs, labels, F.lit(True))
+    got = dict(rows(T.score_toxicity(docs.where("doc_id >= 2000"), model), "doc_id", "predicted"))
+    assert {w: got[i] for i, w in asked.items()} == {"razcal": 1, "rscal": 1, "rascalls": 1, "rascally": 1, "rapid": 0}
+
+
+def test_whole_words_stand_beside_stems():
+    found = {"idio": 100, "idiot": 94, "idiot$": 84, "idiots": 10, "idiots$": 10}
+    assert T._terms(found) == ["idio", "idio$", "idiot$", "idiots$"]
+
+
 def test_toxicity_rows(spark):
     docs = documents(spark, AWKWARD, extra=True)
     labels = spark.createDataFrame([(1, 0), (4, None), (8, 0)], "doc_id long, toxic int")

@@ -15,7 +15,7 @@ from trainscope.llm.words import BLANKS, pieces, words_of
 
 #: Labelled rows of each class that terms and weights are learned from, at most.
 SAMPLE = 4000
-#: Terms, and misspellings known to be clean, that a model holds at most.
+#: Terms (without the whole words beside stems), and misspellings known to be clean, that a model holds at most.
 TERMS, CLEAN = 500, 5000
 #: Letters of a term.
 SHORTEST, LONGEST = 4, 24
@@ -33,11 +33,12 @@ class Automaton:
 
     A trie node and a number of edits make a state; sets of those are made deterministic as words need
     them.  A term that ends in ``$`` is a whole word; any other is a stem and accepts whatever follows.
+    The same letters may be both.
     """
 
     def __init__(self, terms: list[str]):
         self.child: list[dict[int, int]] = [{}]
-        self.term: list[tuple[int, bool] | None] = [None]  # edits allowed, is a stem
+        self.term: list[dict[bool, int]] = [{}]  # edits allowed, of a stem and of a whole word
         for t in terms:
             data, stem = t.removesuffix("$").encode(), not t.endswith("$")
             node = 0
@@ -45,14 +46,13 @@ class Automaton:
                 if b not in self.child[node]:
                     self.child[node][b] = len(self.child)
                     self.child.append({})
-                    self.term.append(None)
+                    self.term.append({})
                 node = self.child[node][b]
             n = len(data)
-            self.term[node] = ((1 if n >= 8 else 0) if stem else (2 if n >= 9 else 1 if n >= 5 else 0), stem)
+            self.term[node][stem] = (1 if n >= 8 else 0) if stem else (2 if n >= 9 else 1 if n >= 5 else 0)
         self.most = [0] * len(self.child)  # edits that some term below a node allows
         for node in range(len(self.child) - 1, -1, -1):
-            own = self.term[node][0] if self.term[node] else 0
-            self.most[node] = max([own, *(self.most[c] for c in self.child[node].values())])
+            self.most[node] = max([0, *self.term[node].values(), *(self.most[c] for c in self.child[node].values())])
         letters = sorted({b for c in self.child for b in c})
         self.letter = np.zeros(256, np.int64)  # 0: no letter of any term
         self.letter[letters] = np.arange(1, len(letters) + 1)
@@ -78,7 +78,7 @@ class Automaton:
             self.known[key] = len(self.sets)
             self.sets.append(key)
             for stem, into in ((False, "ends"), (True, "stems")):
-                edits = [e for node, e in key if self.term[node] and self.term[node][1] == stem and e <= self.term[node][0]]
+                edits = [e for node, e in key if e <= self.term[node].get(stem, -1)]
                 setattr(self, into, np.append(getattr(self, into), min(edits, default=-1)))
             self.step = np.vstack([self.step, np.full(len(self.byte), -1)])
         return self.known[key]
@@ -261,7 +261,8 @@ def _terms(found: dict[str, int]) -> list[str]:
     """Whole words and stems out of what was found, by number of surroundings.
 
     A beginning is made longer as long as one longer beginning has nearly as many, so a word that stands
-    alone ends as a whole word.
+    alone ends as a whole word.  Beside a stem stand the whole words that it begins, for those allow more
+    edits.
     """
     longer: dict[str, list[str]] = {}
     for w in found:
@@ -273,7 +274,9 @@ def _terms(found: dict[str, int]) -> list[str]:
         while (more := max(longer.get(w, []), key=lambda x: (found[x], x), default=None)) and found[more] >= 0.95 * found[w]:
             w = more
         terms[w] = found[w]
-    return sorted(sorted(terms, key=lambda w: (-terms[w], w))[:TERMS])
+    best = sorted(terms, key=lambda w: (-terms[w], w))[:TERMS]
+    stems = tuple(w for w in best if not w.endswith("$"))
+    return sorted({*best, *(w + "$" for w in stems), *(w for w in found if w.endswith("$") and w.startswith(stems))})
 
 
 def _weights(x: np.ndarray, y: np.ndarray, ratio: float) -> np.ndarray:
