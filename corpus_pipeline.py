@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trainscope.llm.common import table
 from trainscope.llm.decontamination import without_contamination
-from trainscope.llm.jaccard_join import jaccard_components
+from trainscope.llm.jaccard_join import jaccard_survivors, row_key
 from trainscope.llm.mixing import mix_sources
 from trainscope.llm.sharding import shard_documents
 from trainscope.llm.toxicity import learn_toxicity, score_toxicity
@@ -23,20 +23,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 80 per cent: that of the smallest id.
+    """One row of each group linked by five-word shingles at 80 per cent: that of the smallest id, nulls last.
 
-    Of several rows with one id one stays.  A row without id goes if a document with an id has its set;
-    otherwise one row of each such text stays.  Texts without words are no copies of each other.
+    Each row is judged by its own text, whatever id it has.  Of rows of one id the one whose text hashes
+    lowest stays, and of those with the same text too the least by the other columns.  Texts without words
+    are no copies of each other, so all of them stay.
     """
-    groups = jaccard_components(docs, k=5, num=80, den=100)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"), *(c for c in docs.columns if c not in ("doc_id", "text")))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn("__first", F.row_number().over(order)).where("__first = 1")
-    unnamed = docs.where("doc_id is null")
-    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    alike = docs.where("doc_id is not null").join(unnamed.select("text").distinct(), "text", "left_semi").select("text").distinct()
-    single = unnamed.where(~blank).join(alike, "text", "left_anti").dropDuplicates(["text"])
-    return named.select(docs.columns).unionByName(single).unionByName(unnamed.where(blank))
+    blank = F.coalesce("text", F.lit("")).rlike(r"\A[ \t-\r]*\z")
+    # Rows alike in id and text become one before the join, so a frequent id or text fills no task.
+    order = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), "doc_id", "text")
+    single = docs.where(~blank).groupBy(row_key().alias("uid")).agg(F.min(order).alias("row"))
+    kept = single.join(jaccard_survivors(docs, k=5, num=80, den=100), "uid", "left_semi").select("row.*")
+    return kept.select(docs.columns).unionByName(docs.where(blank))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

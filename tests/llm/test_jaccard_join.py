@@ -86,3 +86,15 @@ def test_divide_skip_equals_counting():
         for s in sets:
             want = [i for i, r in enumerate(sets) if (b := len(np.intersect1d(s, r))) and 100 * b >= num * (len(s) + len(r) - b)]
             assert sorted(lists.search(s, num, 100)) == want
+
+
+def test_pipeline_judges_each_row_by_its_own_text(spark):
+    from corpus_pipeline import drop_near_copies
+    base, x, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "bxo")
+    table = [(3, base), (5, x), (5, base + " and"), (5, other), (5, x), (None, other.upper() + " \t"), (None, "n " + "m k l " * 9),
+             (None, "N  " + "m k l " * 9), (7, "\t"), (7, None), (None, " ")] + [(9, " ".join(f"h{j}w{i}" for i in range(8))) for j in range(20)]
+    docs = documents(spark, [(d, t, "en", "a", 0) for d, t in table]).repartition(4)
+    got = drop_near_copies(spark, docs, "").collect()
+    own = sorted(((r["doc_id"], " ".join(split(r["text"]))) for r in got), key=str)
+    want = [(3, base), (5, x), (5, other), (None, "n " + "m k l " * 9), (7, ""), (7, ""), (None, "")] + table[11:]
+    assert own == sorted(((d, " ".join(split(t))) for d, t in want), key=str)

@@ -10,7 +10,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainscope.llm.common import small_batches, stored, table
@@ -241,16 +241,13 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
+def row_key() -> Column:
+    """The name of a row's id and text; rows that have both in common share it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
-    Words are separated by ASCII white space and A-Z count as lower case.  A document's set holds its
-    distinct runs of ``k`` words; with fewer words it holds the whole sequence.  Documents link when
-    ``den * |both| >= num * |either|``; ``component_id`` is the smallest id reachable by links.
 
-    Null and blank texts have an empty set and link with nothing, so they stand alone.  Rows that share
-    an id are told apart by their sets.  A null id has no part in the minimum; where no other id is
-    linked, the component is null.  Other columns are ignored.
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """All documents as ``(doc_id, uid, n, v, signatures)``, and ``(v, root)`` of the sets that link.
 
     Documents with equal sets count once from here on; a set is named by a 64-bit digest.  Sets that
     link share a signature; all who share one meet under the smallest digest among them.  Of those who
@@ -261,7 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     need not all be listed.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", row_key())
     told = stored(_described(docs, k, num, den), "jaccard-docs")
     classes = told.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), F.max("n").alias("n"))
     signed_ = told.select(F.explode("signatures").alias("signature"), "v")
@@ -298,7 +295,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         more = _search(every.join(sets, "v"), num, den)
         root = stored(connected_components(edges.unionByName(more)), "jaccard-roots")
 
-    named = classes.select("v", "rep").join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
+    return told, root
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``.
+
+    Words are separated by ASCII white space and A-Z count as lower case.  A document's set holds its
+    distinct runs of ``k`` words; with fewer words it holds the whole sequence.  Documents link when
+    ``den * |both| >= num * |either|``; ``component_id`` is the smallest id reachable by links.
+
+    Null and blank texts have an empty set and link with nothing, so they stand alone.  Rows that share
+    an id are told apart by their sets.  A null id has no part in the minimum; where no other id is
+    linked, the component is null.  Other columns are ignored.
+    """
+    told, root = _linked(docs, k, num, den)
+    classes = told.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"))
+    named = classes.join(root, "v", "left").withColumn("root", F.coalesce("root", "v"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     whole = named.join(least, "root").select("v", "component_id")
     linked = told.where("n > 0").select("doc_id", "n", "v").join(whole, "v", "left")
@@ -307,6 +320,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id"))
 
 
+def jaccard_survivors(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``uid``: the ``row_key`` of one row of each component of ``jaccard_components``, judged by its own set.
+
+    It is the row of the smallest id, nulls last, and then of the smallest key.  Rows with an empty set
+    are in no component.
+    """
+    told, root = _linked(docs, k, num, den)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid")).alias("first")
+    sets = told.where("n > 0").groupBy("v").agg(first)
+    least = sets.join(root, "v", "left").groupBy(F.coalesce("root", "v").alias("root")).agg(F.min("first").alias("first"))
+    return least.select("first.uid")
+
+
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """Components of three-word shingle sets at 90 per cent, over all documents."""
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
