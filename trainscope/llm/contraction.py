@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from trainscope.session import stored
 
 
+def _kept(df: DataFrame, name: str, condition: str) -> tuple[DataFrame, int]:
+    """The written rows, and how many of them meet the condition, counted as they are written."""
+    seen = Observation()
+    kept = stored(df.observe(seen, F.count_if(F.expr(condition)).alias("n")), name)
+    return kept, seen.get["n"]
+
+
 def subtree_sums(tree: DataFrame, values: list[str]) -> DataFrame:
     """``(id, values)`` with each value summed over the node and all below it.
 
@@ -30,8 +37,8 @@ def subtree_sums(tree: DataFrame, values: list[str]) -> DataFrame:
         rest = alive.where("kids > 0").join(gain, "id", "left").select(
             "id", "parent", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"),
             *((F.col(v) + F.coalesce(f"gain_{v}", F.lit(0))).alias(v) for v in values), *up)
-        rest = stored(rest, "contraction-raked")
-        if rest.isEmpty():
+        rest, left = _kept(rest, "contraction-raked", "true")
+        if not left:
             break
         chain, alive = _compressed(rest, values, up)
         chains.append(chain)
@@ -67,18 +74,20 @@ def _chain_ends(links: DataFrame, values: list[str]) -> DataFrame:
     columns = ["id", "next", *values]
     table = links.join(links.select(F.col("id").alias("next"), F.lit(True).alias("open")), "next", "left").select(
         *columns, F.coalesce("open", F.lit(False)).alias("open"))
-    table = stored(table, "contraction-links")
+    table, n_open = _kept(table, "contraction-links", "open")
     done, left = [table.where("not open").select(columns)], table.where("open")
-    while not left.isEmpty():
+    while n_open:
         far = table.select(F.col("id").alias("next"), F.col("next").alias("far"), *(F.col(v).alias(f"far_{v}") for v in values),
                            F.col("open").alias("far_open"))
-        new = stored(left.join(far, "next").select(
+        new, n_open = _kept(left.join(far, "next").select(
             "id", F.col("far").alias("next"), *((F.col(v) + F.col(f"far_{v}")).alias(v) for v in values), F.col("far_open").alias("open")),
-            "contraction-jumped")
+            "contraction-jumped", "open")
         done.append(new.where("not open").select(columns))
         left = new.where("open")
-        asked = left.select(F.col("next").alias("id"))
-        table = new.unionByName(table.where("not open").join(asked, "id", "left_semi").select(new.columns))
+        if n_open:
+            asked = left.select(F.col("next").alias("id"))
+            passed = table.where("not open").join(asked, "id", "left_semi").select(new.columns)
+            table = new.unionByName(stored(passed, "contraction-passed"))
     return reduce(DataFrame.unionByName, done)
 
 

@@ -246,9 +246,9 @@ def prefix_trie(turns: DataFrame, base: Column, head: Column, most: int) -> Data
                                           F.max("chars").alias("chars"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "trie-nodes")
     above = nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("id").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    linked = stored(nodes.join(above, ["pa", "pb"], "left"), "trie-linked")
-    kids = linked.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n_children"))
-    linked = stored(linked.join(kids, "id", "left").fillna(0, ["n_children"]), "trie-counted")
+    kids = nodes.where("depth > 0").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
+    linked = nodes.join(above, ["pa", "pb"], "left").join(kids, ["a", "b"], "left").fillna(0, ["n_children"])
+    linked = stored(linked, "trie-linked")
     sums = subtree_sums(linked.select("id", "parent", F.col("n_children").alias("kids"), F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"),
                                       ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
     return (linked.join(sums, "id").join(_ends(members), ["a", "b"], "left")
