@@ -2,7 +2,7 @@ import tempfile
 
 import pytest
 
-from trainscope.session import builder
+from trainscope.session import builder, clear_work
 
 
 @pytest.fixture(scope="session")
@@ -15,4 +15,5 @@ def spark():
                .getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()

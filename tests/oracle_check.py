@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
 KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE",
-         "decimal(38,4)": "DECIMAL(38,4)", "timestamp": "TIMESTAMP"}
+         "decimal(38,4)": "DECIMAL(38,4)", "timestamp": "TIMESTAMP", "date": "DATE"}
 
 
 def connect(sf_dir):

@@ -204,13 +204,13 @@ def errors(spark, rows):
 
 
 def test_thread_order_does_not_matter(spark):
-    rows = [(0, 112, "", [(123, ["aaaa", "bbbb"]), (345, ["bbbb", "aaaa"])]),
-            (1, 112, "", [(345, ["bbbb", "aaaa"]), (123, ["aaaa", "bbbb"])])]
+    rows = [(0, 61, "", [(17, ["load batch", "all reduce"]), (29, ["all reduce", "load batch"])]),
+            (1, 61, "", [(29, ["all reduce", "load batch"]), (17, ["load batch", "all reduce"])])]
     assert diffs(spark, rows) == [] and errors(spark, rows) == []
 
 
 def test_first_difference_text(spark):
-    head = "RANK7, Process type: PROCESS_DATA_LOADER, Process ID:40826"
+    head = "RANK3, Process type: PROCESS_DATA_LOADER, Process ID:7310"
     frames = [f"f{i}" for i in range(8)]
     cases = [
         ([(1, frames + ["new"])], [(1, frames + ["old"])],
@@ -225,7 +225,7 @@ def test_first_difference_text(spark):
         ([(1, ["A"])], [(1, ["a"])], None),
     ]
     for now, then, want in cases:
-        assert diffs(spark, [(0, 40826, "RANK7", then), (1, 40826, "RANK7", now)]) == ([want] if want else [])
+        assert diffs(spark, [(0, 7310, "RANK3", then), (1, 7310, "RANK3", now)]) == ([want] if want else [])
 
 
 def test_pair_errors(spark):

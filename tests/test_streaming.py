@@ -108,3 +108,33 @@ def test_metrics_stream(spark, tmp_path):
     found = running_totals(drain(stream_request_metrics(source, "1 minute"), spark, "metrics"))
     got = sorted((r.status, r.requests, r.total) for r in found.collect())
     assert got == [("error", 1, 1), ("success", 1, 3), ("success", 2, 2)]
+
+
+def test_last_windows_come_with_a_closing_beat(spark, tmp_path):
+    t = lambda s: dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=s)
+    source = files(spark, tmp_path, [[("m", None, t(i * 15))] for i in range(4)], "method string, error string, ts timestamp")
+    # The beat runs with the requests: one that is ahead makes them late.
+    beat = files(spark, tmp_path / "beat", [[(t(0),)]] * 3 + [[(t(9999),)]], "ts timestamp")
+    found = running_totals(drain(stream_request_metrics(source, "0 seconds", heartbeat=beat), spark, "metrics"))
+    assert sorted((r.requests, r.total) for r in found.collect()) == [(1, i + 1) for i in range(4)]
+
+
+def test_totals_over_many_blocks(spark, monkeypatch):
+    from trainscope.streaming import metrics
+    monkeypatch.setattr(metrics, "BLOCK", 3)
+    rows = spark.range(50).selectExpr("timestamp_seconds(id * 15) AS start", "timestamp_seconds(id * 15 + 15) AS end", "'m' AS method",
+                                      "if(id % 2 = 0, 'success', 'error') AS status", "id AS requests")
+    got = {(r.status, r.requests): r.total for r in running_totals(rows).collect()}
+    assert got == {("error" if i % 2 else "success", i): sum(range(i % 2, i + 1, 2)) for i in range(50)}
+
+
+def test_ingest_keeps_rejects_and_arrival_times(spark, tmp_path):
+    good, late = '{"MSG_TYPE":"text","content":{"Text":"one"}}', '{"content":{"text":"a \\"Content\\": b"},"content":{"text":"last"}}'
+    source = files(spark, tmp_path, [[(1, good, 5), (2, "{", 6)], [(3, late, 86_400_007), (4, '{"content":7}', 8)]], "offset bigint, body string, at bigint")
+    for _ in range(2):  # a fresh checkpoint runs every batch again, into the same folders
+        store, rejects = str(tmp_path / "store"), str(tmp_path / "rejects")
+        (SA.write_ingest(source, "body", ["offset"], F.col("at"), store, rejects, work_path(spark, "cp"))
+         .trigger(availableNow=True).start().awaitTermination())
+    assert sorted((r.message, r.timestamp, str(r.event_date)) for r in read_event_store(spark, store).collect()) == [
+        ("last", 86_400_007, "1970-01-02"), ("one", 5, "1970-01-01")]
+    assert sorted((r.payload, r.timestamp) for r in spark.read.parquet(rejects).collect()) == [("{", 6), ('{"content":7}', 8)]

@@ -6,6 +6,10 @@ Every view reads its whole source table.  The rules are listed in FIXTURES.md;
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,7 @@ AS_OF = "2024-01-31T00:00:00Z"
 AS_OF_MS = 1_706_659_200_000
 HANG_SECONDS = 150_000
 SILENT_RANKS = (5, 6, 10, 15)
+TIMES = {"events": "ts", "lineitem": "l_shipdate"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -124,6 +129,39 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderkey") % 5 == 0, 2).otherwise(1).alias("type"), ordered.alias("threads"))
 
 
+def check_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checks of three samples on each of 24 nodes: the processes of every sample, with the name of its file.
+
+    Some samples of the second check are empty, some are broken.  The first frame moves between checks, the second
+    between samples.  On some nodes the second check follows soon, and on some its first sample is lost, so that only the
+    name of the file, or only the pause, tells the checks apart.
+    """
+    k = F.col("k")
+    second = F.when(k % 4 == 2, "10:00:").otherwise("11:00:")
+    start = F.when((F.col("c") == 1) & (k % 4 == 2), 40).otherwise(0)
+    clock = F.concat(F.when(F.col("c") == 0, "10:00:").otherwise(second), F.lpad((start + F.col("s") * 5).cast("string"), 2, "0"))
+    marked = (F.col("s") > 0) | ((F.col("c") == 1) & (k % 4 == 0))
+    frames = F.array(F.concat(F.lit('File "mod'), F.col("o_custkey") % 97, F.lit('.py", line '), F.col("c") * 100 + 1),
+                     F.concat(F.lit('File "step.py", line '), F.when((k % 3 == 0) & (F.col("o_orderkey") % 11 == 0), F.col("s")).otherwise(0)))
+    thread = F.struct(F.lit(1).alias("threadId"), F.lit("main").alias("threadName"), frames.alias("stackFrames"))
+    return (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 24).alias("k"))
+            .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("s", F.explode(F.array(*map(F.lit, range(3)))))
+            .select("c", "s", "k", F.concat(F.lit("nodegpu"), k, F.lit("_processInfo_2024-01-31_"), F.translate(clock, ":", "-"),
+                                            F.when(marked, "_noDiff").otherwise("")).alias("file"),
+                    F.struct(F.col("o_orderkey").cast("int").alias("pid"),
+                             F.when(F.col("o_orderkey") % 5 == 0, "PROCESS_DATA_LOADER").otherwise("PROCESS_TRAINER").alias("type"),
+                             F.concat(F.lit("RANK"), F.expr("(o_orderkey div 24) % 64")).alias("rank"), F.array(thread).alias("threads")).alias("process")))
+
+
+def check_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``check_samples`` as saved: one document a sample, ``{}`` if empty, some cut short."""
+    one = check_samples(spark, sf_dir).groupBy("file", "c", "s", "k").agg(F.collect_list("process").alias("processes"))
+    whole = F.to_json(F.struct("processes", F.size("processes").alias("totalCount")))
+    text = (F.when((F.col("c") == 1) & (F.col("s") == 1) & (F.col("k") % 5 == 3), "{}")
+            .when((F.col("c") == 1) & (F.col("s") == 2) & (F.col("k") % 6 == 1), F.expr("left(whole, length(whole) - 9)")).otherwise(F.col("whole")))
+    return one.withColumn("whole", whole).select("file", text.alias("value"))
+
+
 def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stack dump per order: a note before the first header, then threads, frames and code lines."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -243,3 +281,44 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = (F.when(F.col("conv_id") % 5 == 1, F.substring(good, F.lit(1), F.length(good) - 1))
             .when(F.col("conv_id") % 5 == 2, F.concat(F.lit('{"content":{"text":'), "turn", F.lit("}}"))).otherwise(good))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.alias("body"))
+
+
+def save_rank_logs(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``log_lines`` as files of two runs below ``path``: first ``old``, where each line begins with "old", then ``new``."""
+    def save(folder: str):
+        system, inner = pyarrow.fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "/", f"{path}/{folder}"))
+        prefix = b"old " if folder == "old" else b""
+
+        def write(batches):
+            rank, out = None, None
+            system.create_dir(inner)
+            for batch in batches:
+                for no, line in zip(batch.column("rank_no").to_pylist(), batch.column("line").to_pylist()):
+                    if no != rank:
+                        if out is not None:
+                            out.close()
+                        rank, out = no, system.open_output_stream(f"{inner}/rank{no}.log")
+                    out.write(prefix + line.encode() + b"\n")
+            if out is not None:
+                out.close()
+                yield pa.RecordBatch.from_pydict({"rank_no": pa.array([rank], pa.int32())})
+        return write
+
+    lines = log_lines(spark, sf_dir).select("rank_no", "line_no", "line").repartition("rank_no").sortWithinPartitions("rank_no", "line_no")
+    for folder in ("old", "new"):
+        lines.select("rank_no", "line").mapInArrow(save(folder), "rank_no int").write.format("noop").mode("overwrite").save()
+
+
+def batches(spark: SparkSession, sf_dir: str, name: str, n: int, path: str) -> DataFrame:
+    """A driver table as a stream of ``n`` batches that each hold rows of the whole time."""
+    source = table(spark, sf_dir, name)
+    for k in range(n):
+        source.filter(F.pmod(F.xxhash64(*source.columns), F.lit(n)) == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def closing_beat(spark: SparkSession, sf_dir: str, name: str, days: int, path: str) -> DataFrame:
+    """A stream of one time, so many days after the last one of the table."""
+    last = table(spark, sf_dir, name).agg((F.max(as_utc(TIMES[name])) + F.make_dt_interval(F.lit(days))).alias("ts"))
+    last.write.parquet(path)
+    return spark.readStream.schema(last.schema).parquet(path)

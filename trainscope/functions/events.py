@@ -35,9 +35,13 @@ def payload_text(payload: Column | str) -> Column:
     """Text of a posted message; NULL marks a payload to reject.
 
     Absent and null members count as empty text; a member of another type makes
-    the payload bad, as does text that is not JSON.
+    the payload bad, as does text that is not JSON.  Names count in any case, and of
+    doubled ones the last does.
     """
-    doc = F.try_parse_json(_c(payload))
+    named = _c(payload)
+    for name in ("msg_type", "content", "text"):  # a quote that is not escaped begins or ends a string, and only a name has a colon after it
+        named = F.regexp_replace(named, rf'(?<!\\)"(?i:{name})"(?=\s*:)', f'"{name}"')
+    doc = F.try_parse_json(named)
 
     def kind(path: str) -> Column:
         return F.coalesce(F.schema_of_variant(F.try_variant_get(doc, path, "variant")), F.lit("VOID"))

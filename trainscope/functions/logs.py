@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trainscope.functions.text import _c, digits_to_bigint, parse_log_time, wrap_int32
-from trainscope.schemas import LOG_EPOCH, LOG_HEAD, LOG_LEVELS, MAX_LINE_BYTES
+from trainscope.schemas import LOG_EPOCH, LOG_HEAD, LOG_LEVELS
 
 
 def _lookup(value: Column, table: dict[str, int]) -> Column:
@@ -37,7 +37,7 @@ def line_head(line: Column | str) -> Column:
 
 def _head_part(head: Column, n: int) -> Column:
     # The parts of a head hold no ']', so they are cut out by position.
-    return F.substring(F.substring_index(F.substring_index(head, "]", n), "]", -1), 2, MAX_LINE_BYTES)
+    return F.substr(F.substring_index(F.substring_index(head, "]", n), "]", -1), F.lit(2))
 
 
 def entry_fields(line: Column, head: Column, zone: str | None = None, accept_short: bool = False) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trainscope.functions.logs import _lookup
 from trainscope.functions.text import _c, digits_to_bigint, trim_rest, trim_space, wrap_int32
 from trainscope.schemas import (
-    FRAME_LANGUAGE, PROCESS_KINDS, PROCESS_TYPES, THREAD_HEADER, THREAD_START,
+    FRAME_LANGUAGE, FRAME_START, PROCESS_KINDS, PROCESS_TYPES, THREAD_HEADER, THREAD_START,
 )
 
 
@@ -57,7 +57,7 @@ def parse_stack_dump(dump: Column | str) -> Column:
 
     def wanted(line: Column, i: Column) -> Column:
         # One result, trimmed of blanks; the rest of the trimming sees it once.
-        is_frame = F.contains(line, F.lit(FRAME_LANGUAGE + "File"))
+        is_frame = F.contains(line, F.lit(FRAME_START))
         is_code = line.startswith("    ") & ~F.contains(line, F.lit("File"))
         return F.trim(F.when(i == 0, F.lit("")).when(is_frame, _drop_language(line))
                       .when(is_code, line).otherwise(F.lit("")))
@@ -71,7 +71,7 @@ def parse_stack_dump(dump: Column | str) -> Column:
         header = parse_thread_header(F.substring_index(section, "\n", 1))
         body = F.array_join(F.transform(F.transform(F.transform(F.split(section, "\n"), wanted), trim_rest), placed), "")
         # What comes before the first empty line is code without a frame.
-        frames = F.slice(F.split(body, "\n\n"), F.lit(2), F.lit(1_000_000_000))
+        frames = F.slice(F.split(body, "\n\n"), F.lit(2), F.lit(2**31 - 2))
         return F.struct(header["thread_id"].alias("thread_id"), header["thread_name"].alias("thread_name"),
                         frames.alias("stack_frames"))
 

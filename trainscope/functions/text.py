@@ -109,6 +109,7 @@ def parse_rank_range(value: Column | str) -> Column:
         part = F.get(parts, F.lit(i))
         return F.when(part.rlike(number), part.try_cast("int"))
 
+    # The texts of the reasons.
     reason = (F.when(text.startswith("error:"), F.concat(F.lit("rank range script error: "), text))
               .when(F.size(parts) != 2, F.concat(F.lit("Invalid output format: "), text))
               .when(bound(0).isNull(), F.lit("Failed to parse minRank"))

@@ -13,11 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trainscope.functions.events import alert_payload, severity_name
-from trainscope.operators.skew import number_rows, spread_join
+from trainscope.operators.skew import number_by_ranges, spread_join
 from trainscope.schemas import DEFAULT_EVENT_TYPE
 
 DAY_MS = 86_400_000
 
+# --- Fixed values: notification texts -------------------------------------------
+NO_ALERT_TIME = "0001-01-01 00:00:00.000"
+ALERT_LINE = "%d. Time: %s\n   Level: %s\n   Message: %s\n"
+MESSAGE_HEAD = "【{prefix}】\nNode: %s\nProcessing time: %s\n--------------------\n"
+STATUS_FAILED = "Status: Failed\nError message: %s\n"
+STATUS_FOUND = "Status: Found %d alerts\n"
+
 
 @dataclass(frozen=True)
 class EventFilter:
@@ -153,16 +160,12 @@ def prune_event_files(events: DataFrame, index: DataFrame, by: EventFilter) -> D
 # --- per node reports ------------------------------------------------------------
 
 def number_alerts(alerts: DataFrame) -> DataFrame:
-    """Alerts with ``alert_no`` per node, newest first.
+    """Alerts with ``alert_no`` per node, newest first, equal times by id; alerts without a node are not numbered.
 
-    A node may hold a large share of all alerts, so numbers come from counts per
-    day, second and millisecond, not from one sorted partition per node.
+    A node may hold a large share of all alerts, and of those one millisecond may: numbers come from ranges.
     """
-    ts = F.coalesce("timestamp", F.lit(0).cast("bigint"))
-    key = F.coalesce("id", F.lit(""))
-    start = lambda width: -(ts - F.pmod(ts, F.lit(width)))
-    levels = [[start(DAY_MS)], [start(1000)], [-ts, F.substring(key, 1, 4)]]
-    return number_rows(alerts, ["node"], levels, [F.desc("timestamp"), F.asc("id")], "alert_no")
+    order = [F.coalesce("timestamp", F.lit(0).cast("bigint")).desc(), F.asc("id")]
+    return number_by_ranges(alerts.filter("node is not null"), ["node"], order, "alert_no")
 
 
 def alert_rollup(nodes: DataFrame, alerts: DataFrame) -> DataFrame:
@@ -189,8 +192,8 @@ def alert_messages(nodes: DataFrame, alerts: DataFrame, processing_time: str,
     rollup = alert_rollup(nodes, alerts).filter(~F.col("no_alert"))
     shown = F.coalesce(F.date_format(
         F.to_utc_timestamp(F.timestamp_millis("timestamp"), F.current_timezone()), "yyyy-MM-dd HH:mm:ss.SSS"),
-        F.lit("0001-01-01 00:00:00.000"))
-    line = F.format_string("%d. Time: %s\n   Level: %s\n   Message: %s\n",
+        F.lit(NO_ALERT_TIME))
+    line = F.format_string(ALERT_LINE,
                            "alert_no", shown, severity_name("severity"), F.coalesce("message", F.lit("")))
     part = F.expr(f"(alert_no - 1) div {int(per_message)}")
     numbered = number_alerts(alerts).select("node", "alert_no", part.alias("part"), line.alias("line"))
@@ -198,10 +201,10 @@ def alert_messages(nodes: DataFrame, alerts: DataFrame, processing_time: str,
         F.array_sort(F.collect_list(F.struct("alert_no", "line"))).alias("_lines"))
     body = F.array_join(F.transform("_lines", lambda x: x["line"]), "")
     parts = rollup.join(bodies.select("node", "part", body.alias("_body")), "node", "left")
-    head = F.format_string(f"【{prefix.replace('%', '%%')}】\nNode: %s\nProcessing time: %s\n--------------------\n",
+    head = F.format_string(MESSAGE_HEAD.format(prefix=prefix.replace("%", "%%")),
                            "node", F.lit(processing_time))
-    status = (F.when(F.col("error").isNotNull(), F.format_string("Status: Failed\nError message: %s\n", "error"))
-              .otherwise(F.concat(F.format_string("Status: Found %d alerts\n", "alert_count"), F.col("_body"))))
+    status = (F.when(F.col("error").isNotNull(), F.format_string(STATUS_FAILED, "error"))
+              .otherwise(F.concat(F.format_string(STATUS_FOUND, "alert_count"), F.col("_body"))))
     text = F.concat(head, status)
     # A failed node has one message, whatever alerts are stored for it.
     return (parts.filter("error is null or part is null or part = 0")

@@ -74,7 +74,7 @@ def latency_histogram(rpc: DataFrame, buckets: Sequence[str] = LATENCY_BUCKETS,
     duration = F.col("duration")
     counts = rpc.groupBy("method", *by).agg(
         *[F.count_if(duration <= F.lit(float(le))).alias(f"_b{i}") for i, le in enumerate(buckets)],
-        F.sum(duration.cast("decimal(28,9)")).cast("decimal(38,4)").alias("duration_sum"),
+        F.sum(duration.cast("decimal(28,9)")).alias("duration_sum"),
         F.count("*").alias("duration_count"))
     rows = [F.struct(F.lit(le).alias("le"), F.col(f"_b{i}").alias("requests")) for i, le in enumerate(buckets)]
     rows.append(F.struct(F.lit("+Inf").alias("le"), F.col("duration_count").alias("requests")))

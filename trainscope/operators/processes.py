@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trainscope.functions.stacks import process_type
 from trainscope.functions.text import environ_value, rank_label, text_to_int
 from trainscope.operators.skew import spread_join
+from trainscope.operators.snapshots import pair_keys
 
 
 def launchers(procs: DataFrame, pattern: str) -> DataFrame:
@@ -62,4 +63,4 @@ def filter_processes(df: DataFrame, type: int | None = None, rank: str | int | N
 
 
 def process_counts(snaps: DataFrame) -> DataFrame:
-    return snaps.groupBy("node", "snapshot_no").agg(F.count("*").alias("total_processes"))
+    return snaps.groupBy(*pair_keys(snaps)).agg(F.count("*").alias("total_processes"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trainscope.session import stored
+
 SALTS = 32
 
 
@@ -46,38 +48,18 @@ def spread_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by:
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[Column]],
-                order: Sequence[Column], name: str) -> DataFrame:
+def number_by_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` per key without ever sorting a whole key in one task.
 
-    ``levels`` are non-null order columns from coarse to fine, all ascending,
-    whose combined order agrees with ``order``.  Counts per finest bucket give
-    each bucket its starting number by running sums inside its parent bucket;
-    only the rows of one finest bucket are sorted together.  The result is the
-    same on every run, so a lost task can be computed again.
+    All rows are sorted into ranges of about equal size by key and ``order``, so a hot key, or a hot value in
+    it, runs through many of them.  Counts per key and range give the first number of each range, and only the
+    rows of one range are numbered together.  The ranges are stored, so a lost task finds the same ones.
     """
-    names = [[f"_l{i}_{j}" for j in range(len(level))] for i, level in enumerate(levels)]
-    flat = [c for level in levels for c in level]
-    bucketed = df.select("*", *[c.alias(a) for a, c in zip(sum(names, []), flat)])
-    depth = len(levels)
-
-    def path(d: int) -> list[str]:
-        return [*keys, *sum(names[:d], [])]
-
-    counts = [bucketed.groupBy(*path(depth)).agg(F.count("*").alias("_n"))]
-    for d in range(depth - 1, 0, -1):
-        counts.insert(0, counts[0].groupBy(*path(d)).agg(F.sum("_n").alias("_n")))
-
-    starts = None
-    for d, table in enumerate(counts, start=1):
-        before = (Window.partitionBy(*path(d - 1)).orderBy(*names[d - 1])
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        step = table.select(*path(d), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_step"))
-        if starts is not None:
-            step = step.join(starts, path(d - 1)).withColumn("_step", F.col("_step") + F.col("_start"))
-        starts = step.select(*path(d), F.col("_step").alias("_start"))
-
-    within = Window.partitionBy(*path(depth)).orderBy(*order)
-    return (bucketed.join(starts, path(depth))
-            .withColumn(name, F.col("_start") + F.row_number().over(within))
-            .drop("_start", *sum(names, [])))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(df.repartitionByRange(parts, *(F.col(k) for k in keys), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).select(
+        *keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*keys, "_range").orderBy(*order)
+    return (ranged.withColumn("_row", F.row_number().over(within)).join(starts, [*keys, "_range"])
+            .withColumn(name, F.col("_start") + F.col("_row")).drop("_start", "_row", "_range"))

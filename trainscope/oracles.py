@@ -88,6 +88,17 @@ VIEWS = {
           '2024-01-31 00:00:' || lpad(CAST(snapshot_no * 5 AS VARCHAR), 2, '0') AS clock
         FROM orders, (SELECT unnest(range(0, 5)) AS snapshot_no)
         WHERE NOT (o_orderkey % 8 = 7 AND o_orderkey % 100 = 7 AND snapshot_no = 4)""",
+    "check_samples": """
+        SELECT o_orderkey, o_custkey, o_orderkey % 24 AS k, c, s, 'gpu' || (o_orderkey % 24) AS node,
+          '2024-01-31 ' || CASE WHEN c = 0 THEN '10:00:00' WHEN o_orderkey % 24 % 4 = 2 THEN '10:00:40' ELSE '11:00:00' END AS check_id,
+          '2024-01-31 ' || CASE WHEN c = 0 OR o_orderkey % 24 % 4 = 2 THEN '10' ELSE '11' END || ':00:' ||
+            lpad(CAST(s * 5 + CASE WHEN c = 1 AND o_orderkey % 24 % 4 = 2 THEN 40 ELSE 0 END AS VARCHAR), 2, '0') AS snapshot_time,
+          c = 1 AND s = 1 AND o_orderkey % 24 % 5 = 3 AS bare, c = 1 AND s = 2 AND o_orderkey % 24 % 6 = 1 AS broken,
+          CASE WHEN o_orderkey % 24 % 3 = 0 AND o_orderkey % 11 = 0 THEN s ELSE 0 END AS step
+        FROM orders, (SELECT unnest(range(0, 2)) AS c), (SELECT unnest(range(0, 3)) AS s)""",
+    "check_facts": """
+        SELECT node, k, check_id, CAST(s AS INTEGER) AS snapshot_no, snapshot_time, CAST(count(*) FILTER (NOT bare) AS INTEGER) AS n_processes
+        FROM check_samples WHERE NOT broken GROUP BY ALL""",
     "thread_rows": """
         SELECT node, snapshot_no, pid, o_orderkey, o_custkey, t, n_threads,
           t + CASE WHEN snapshot_no = 1 AND o_orderkey % 37 = 0 AND t = n_threads THEN 100 ELSE 0 END AS thread_id,
@@ -237,6 +248,12 @@ BODIES = {
     "rank_order": "SELECT DISTINCT node, rank FROM labelled",
     "oversized_ranks": """
         SELECT node, rank, CAST(max(strlen(line)) AS INTEGER) AS line_bytes FROM log_text GROUP BY node, rank HAVING max(strlen(line)) >= 77""",
+    "rank_log_files": """
+        SELECT run, rank, CAST(sum(strlen(line) + CASE WHEN run = 'old' THEN 5 ELSE 1 END) AS BIGINT) AS length
+        FROM log_text, (SELECT unnest(['old', 'new']) AS run) GROUP BY ALL""",
+    "tail_blocks": """
+        SELECT node, run, rank, CASE WHEN run = 'old' THEN 'old ' ELSE '' END || line AS line FROM tails, (SELECT unnest(['old', 'new']) AS run)""",
+    "newest_run_tail": "SELECT node, rank, n_entries AS entries FROM silence",
     "latest_run_dir": f"""
         SELECT '/runs/job' || job AS work_dir, '/runs/job' || job || '/' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS path,
           strftime(o_orderdate, {RFC}) AS mtime
@@ -288,9 +305,27 @@ BODIES = {
     "hang_verdicts": """
         SELECT v.node, s.rank, s.suspend_seconds, v.snapshot_no, v.verdict, v.diffs, v.error FROM verdicts v JOIN (
           SELECT node, min_by(rank, rank_no) AS rank, min_by(suspend_seconds, rank_no) AS suspend_seconds
-          FROM completed WHERE NOT is_top AND suspend_seconds > 150000 GROUP BY node) s ON s.node = v.node""",
+          FROM completed WHERE suspend_seconds > 150000 GROUP BY node) s ON s.node = v.node""",
+    "snapshot_files": """
+        SELECT node, check_id, CAST(s AS INTEGER) AS snapshot_no, snapshot_time, CAST(o_orderkey AS INTEGER) AS pid,
+          'RANK' || ((o_orderkey // 24) % 64) AS rank, CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END AS type,
+          'File "mod' || (o_custkey % 97) || '.py", line ' || (c * 100 + 1) AS first_frame, 'File "step.py", line ' || step AS second_frame
+        FROM check_samples WHERE NOT bare AND NOT broken""",
+    "snapshot_samples": "SELECT node, check_id, snapshot_no, snapshot_time, n_processes FROM check_facts",
+    "snapshot_rejects": "SELECT DISTINCT node, snapshot_time, '{\"processes\":[' AS beginning FROM check_samples WHERE broken",
+    "check_verdicts": """
+        SELECT a.node, a.check_id, a.snapshot_no, CASE WHEN a.n_processes = b.n_processes AND coalesce(d.n, 0) = 0 THEN 'noDiff' ELSE 'haveDiff' END AS verdict,
+          CASE WHEN a.n_processes = b.n_processes THEN coalesce(d.n, 0) ELSE 0 END AS diffs,
+          CASE WHEN a.n_processes <> b.n_processes THEN 'process count mismatch: psa: ' || a.n_processes || ', psb: ' || b.n_processes ELSE '' END AS error
+        FROM check_facts a JOIN check_facts b ON a.node = b.node AND a.check_id = b.check_id AND a.snapshot_no = b.snapshot_no + 1
+        LEFT JOIN (SELECT node, count(DISTINCT o_orderkey) AS n FROM check_samples WHERE step > 0 GROUP BY node) d ON d.node = a.node""",
     "event_filter": f"SELECT {EVENT} FROM event_store WHERE {IN_WINDOW}",
     "event_store_day": f"SELECT {EVENT} FROM event_store WHERE {IN_WINDOW}",
+    "event_store_pruned": f"SELECT {EVENT} FROM event_store WHERE {IN_WINDOW}",
+    "event_index_stored": """
+        SELECT CAST(make_timestamp("timestamp" * 1000) AS DATE) AS event_date, min("timestamp") AS min_time, max("timestamp") AS max_time,
+          max(severity) AS max_severity, count(*) AS events
+        FROM event_store GROUP BY 1""",
     "event_defaults": """
         SELECT CASE WHEN even THEN sha256(path || '/' || job_id || '/' || processed_at || '/' || message) ELSE id END AS id,
           CASE WHEN even THEN 'alert' ELSE type END AS type,
@@ -343,7 +378,7 @@ BODIES = {
     "request_totals_by_instance": "SELECT method, status, instance, count(*) AS requests FROM rpc GROUP BY ALL",
     "latency_histogram": f"""
         SELECT method, le, count(*) FILTER (le = '+Inf' OR duration <= TRY_CAST(le AS DOUBLE)) AS requests,
-          CAST(CAST(sum(CAST(duration AS DECIMAL(28, 9))) AS DECIMAL(38, 4)) AS VARCHAR) AS duration_sum, count(*) AS duration_count
+          CAST(CAST(sum(CAST(duration AS DECIMAL(28, 9))) AS DECIMAL(38, 9)) AS VARCHAR) AS duration_sum, count(*) AS duration_count
         FROM rpc, (VALUES {BUCKETS}) b(le) GROUP BY method, le""",
     "stream_hang": f"""
         SELECT node, rank, strftime(last_line, {RFC}) AS last_line, lines FROM (
@@ -363,8 +398,16 @@ BODIES = {
     "stream_metrics": f"""
         SELECT strftime(day, {RFC}) AS start, method, status, requests,
           CAST(sum(requests) OVER (PARTITION BY method, status ORDER BY day) AS BIGINT) AS total
-        FROM (SELECT date_trunc('day', ts) AS day, method, status, count(*) AS requests FROM rpc
-              WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM rpc) GROUP BY ALL)""",
+        FROM (SELECT date_trunc('day', ts) AS day, method, status, count(*) AS requests FROM rpc GROUP BY ALL)""",
+    "stream_alerts_ledger": """
+        SELECT id, node, "timestamp", severity, CASE WHEN severity >= 2 THEN 'a' ELSE 'b' END AS told_by, true AS processed,
+          CAST(1706659200000 AS BIGINT) AS processed_at
+        FROM event_store WHERE severity >= 1 AND type = 'alert' AND NOT processed""",
+    "stream_ingest_rejects": """
+        SELECT sha256(body || chr(0) || event_id) AS id, epoch_us(ts) // 1000 AS "timestamp",
+          CASE WHEN event_type = 'error' THEN 'bad ' || body ELSE event_type END AS message
+        FROM (SELECT *, '{"MSG_TYPE":"text","Content":{"text":"first","Text":"' || event_type || CASE WHEN event_type = 'error' THEN '' ELSE '"' END || '}}' AS body
+              FROM events)""",
 }
 
 

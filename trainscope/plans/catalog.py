@@ -25,8 +25,12 @@ from trainscope.plans.reports import log_report, stack_report
 from trainscope.schemas import LEDGER_SCHEMA
 from trainscope.session import work_path
 from trainscope.sinks import tables as K
+from trainscope.sinks.event_index import read_event_index, read_matching_events, update_event_index
 from trainscope.sources.events import parse_event_payloads, read_event_store
+from trainscope.sources.snapshots import Snapshots, read_snapshots
+from trainscope.sources.tails import list_log_files, newest_run_files, read_tails, split_failed
 from trainscope.streaming import alerts as SA
+from trainscope.streaming import ledger as G
 from trainscope.streaming.hang import stream_hang_detection
 from trainscope.streaming.metrics import running_totals, stream_request_metrics
 
@@ -138,6 +142,34 @@ def oversized_ranks(spark, sf):
     return L.oversized_ranks(X.log_lines(spark, sf), limit=77).select("node", "rank", "line_bytes")
 
 
+def _saved_logs(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_path(spark, "runs")
+    X.save_rank_logs(spark, sf, path)
+    return list_log_files(spark, path)
+
+
+def _node_of_rank():
+    return F.concat(F.lit("node"), F.expr("rank_no div 4"))
+
+
+@query
+def rank_log_files(spark, sf):
+    return _saved_logs(spark, sf).select(F.substring_index("run", "/", -1).alias("run"), "rank", "length")
+
+
+@query
+def tail_blocks(spark, sf):
+    tails = read_tails(_saved_logs(spark, sf), node=_node_of_rank(), block=64)
+    return tails.select("node", F.regexp_extract("path", r"/(\w+)/[^/]+\z", 1).alias("run"), "rank", "line")
+
+
+@query
+def newest_run_tail(spark, sf):
+    lines, _ = split_failed(read_tails(newest_run_files(_saved_logs(spark, sf)), node=_node_of_rank()))
+    status = rank_silence(lines, None, X.AS_OF)
+    return status.select("node", "rank", "entries")
+
+
 @query
 def latest_run_dir(spark, sf):
     return L.latest_run_dir(X.run_dirs(spark, sf)).select("work_dir", "path", FT.format_rfc3339("mtime").alias("mtime"))
@@ -242,9 +274,7 @@ def stack_diff(spark, sf):
 @query
 def snapshot_verdict(spark, sf):
     snaps = X.snapshots(spark, sf)
-    errors = S.pair_errors(snaps)
-    out = S.snapshot_verdict(snaps, S.stack_diffs(snaps, errors=errors), errors)
-    return out.withColumn("error", F.coalesce("error", F.lit("")))
+    return S.sample_verdicts(snaps).withColumn("error", F.coalesce("error", F.lit("")))
 
 
 @query
@@ -256,11 +286,45 @@ def suspect_stacks(spark, sf):
 @query
 def hang_verdicts(spark, sf):
     report = hang_check(X.log_lines(spark, sf), X.snapshots(spark, sf), X.AS_OF, X.rank_ranges(spark, sf),
-                        threshold=X.HANG_SECONDS, inclusive=False)
+                        threshold=X.HANG_SECONDS)
     return report.nodes.join(report.verdicts, "node", "left").select(
         "node", "rank", "suspend_seconds", "snapshot_no", "verdict", "diffs", F.coalesce("error", F.lit("")).alias("error"))
 
 
+def _saved(spark: SparkSession, sf: str) -> Snapshots:
+    path = work_path(spark, "checks")
+    X.check_documents(spark, sf).write.partitionBy("file").option("lineSep", "\n\n").text(path)
+    return read_snapshots(spark, path)
+
+
+@query
+def snapshot_files(spark, sf):
+    frame = F.col("threads")[0]["stack_frames"]
+    return _saved(spark, sf).processes.select("node", "check_id", "snapshot_no", "snapshot_time", "pid", "rank", "type",
+                                              frame[0].alias("first_frame"), frame[1].alias("second_frame"))
+
+
+@query
+def snapshot_samples(spark, sf):
+    return _saved(spark, sf).samples.select("node", "check_id", "snapshot_no", "snapshot_time", "n_processes")
+
+
+@query
+def snapshot_rejects(spark, sf):
+    return _saved(spark, sf).rejects.select("node", "snapshot_time", F.substring("content", 1, 14).alias("beginning"))
+
+
+@query
+def check_verdicts(spark, sf):
+    """Written with their verdicts, read back and compared again."""
+    saved = _saved(spark, sf)
+    found = S.sample_verdicts(saved.processes, saved.samples)
+    path = work_path(spark, "verdicts")
+    K.write_process_snapshots(saved.processes, found, path, saved.samples)
+    again = read_snapshots(spark, path)
+    return S.sample_verdicts(again.processes, again.samples).withColumn("error", F.coalesce("error", F.lit("")))
+
+
 # --- events and alerts ---------------------------------------------------------------
 
 _EVENT = ["id", "source", "type", "job_id", "message", "timestamp", "severity", "processed", "processed_at"]
@@ -362,6 +426,28 @@ def event_store_day(spark, sf):
     return E.filter_events(read_event_store(spark, path), WINDOW).select(*_EVENT)
 
 
+def _indexed_store(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Two lots of events, indexed one after the other."""
+    store, index = work_path(spark, "event-store"), work_path(spark, "event-index")
+    events = X.event_store(spark, sf).drop("path")
+    for part in (0, 1):
+        K.append_events(events.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part), store, 2000)
+        update_event_index(spark, store, index)
+    return store, index
+
+
+@query
+def event_index_stored(spark, sf):
+    index = read_event_index(spark, _indexed_store(spark, sf)[1])
+    return index.groupBy("event_date").agg(F.min("min_time").alias("min_time"), F.max("max_time").alias("max_time"), F.max("max_severity").alias("max_severity"),
+                                           F.sum("rows").alias("events"))
+
+
+@query
+def event_store_pruned(spark, sf):
+    return read_matching_events(spark, *_indexed_store(spark, sf), WINDOW).select(*_EVENT)
+
+
 # --- fleet -----------------------------------------------------------------------------
 
 @query
@@ -465,5 +551,34 @@ def stream_mark_processed(spark, sf):
 
 @query
 def stream_metrics(spark, sf):
-    found = _drain(stream_request_metrics(X.rpc_of(_stream(spark, sf, "lineitem")), "0 seconds", "1 day"), "metrics")
+    beat = X.closing_beat(spark, sf, "lineitem", 2, work_path(spark, "beat"))
+    found = _drain(stream_request_metrics(X.rpc_of(_stream(spark, sf, "lineitem")), "0 seconds", "1 day", beat), "metrics")
     return running_totals(found).select(FT.format_rfc3339("start").alias("start"), "method", "status", "requests", "total")
+
+
+@query
+def stream_alerts_ledger(spark, sf):
+    """Two streams, one after the other, over four mixed batches each; the second tells what the first did not."""
+    ledger, out = work_path(spark, "ledger"), work_path(spark, "told")
+    for name, severity in (("a", 2), ("b", 1)):
+        def deliver(alerts: DataFrame, batch_id: int, name: str = name) -> None:
+            alerts.write.mode("overwrite").parquet(f"{out}/told_by={name}/batch={batch_id}")
+
+        events = X.event_store_of(X.batches(spark, sf, "events", 4, work_path(spark, "events")))
+        (G.deliver_alerts(events, ledger, work_path(spark, "cp"), name, X.AS_OF_MS, deliver, severity, loose=3)
+         .trigger(availableNow=True).start().awaitTermination())
+    told = spark.read.schema("id string, timestamp bigint, severity int, node string, message string, told_by string, batch int").parquet(out)
+    return told.join(G.read_ledger(spark, ledger).select("id", "processed", "processed_at"), "id").select(
+        "id", "node", "timestamp", "severity", "told_by", "processed", "processed_at")
+
+
+@query
+def stream_ingest_rejects(spark, sf):
+    """Accepted and rejected payloads of four batches, with the time of their message."""
+    raw = X.batches(spark, sf, "events", 4, work_path(spark, "events")).select("event_id", X.as_utc("ts").alias("at"), F.concat(
+        F.lit('{"MSG_TYPE":"text","Content":{"text":"first","Text":"'), "event_type", F.when(F.col("event_type") == "error", "").otherwise('"'), F.lit("}}")).alias("body"))
+    store, rejects = work_path(spark, "ingest"), work_path(spark, "rejects")
+    (SA.write_ingest(raw, "body", ["event_id"], F.unix_millis("at"), store, rejects, work_path(spark, "cp"))
+     .trigger(availableNow=True).start().awaitTermination())
+    good = read_event_store(spark, store).select("id", "timestamp", "message")
+    return good.unionByName(spark.read.parquet(rejects).select("id", "timestamp", F.concat(F.lit("bad "), "payload").alias("message")))

@@ -38,15 +38,17 @@ class HangReport:
 def hang_check(lines: DataFrame, snaps: DataFrame, as_of: Column | dt.datetime | str,
                ranges: DataFrame | None = None, n: int = DEFAULT_TAIL_LINES,
                threshold: int = DEFAULT_HANG_SECONDS, files: DataFrame | None = None,
-               inclusive: bool = True) -> HangReport:
+               inclusive: bool = True, samples: DataFrame | None = None) -> HangReport:
     """Silent ranks, their nodes, and stack differences on those nodes only.
 
+    ``samples`` are the samples taken, as facts, so that an empty one is compared too.
+
     The silent nodes are stored at once: the list is short, and the logs would
     otherwise be read again for each table that follows from it.
     """
     status = rank_silence(lines, ranges, as_of, n, files, inclusive=inclusive)
     nodes = stored(L.suspicious_nodes(status, threshold), "suspects")
     suspects = S.stacks_for_suspects(snaps, nodes)
-    errors = S.pair_errors(suspects)
-    diffs = S.stack_diffs(suspects, errors=errors)
-    return HangReport(status, nodes, errors, diffs, S.snapshot_verdict(suspects, diffs, errors))
+    compared = S.compare_samples(suspects, None if samples is None else samples.join(nodes.select("node").distinct(), "node", "left_semi"))
+    diffs = S.stack_diffs(suspects, compared=compared)
+    return HangReport(status, nodes, compared.errors, diffs, S.snapshot_verdict(suspects, diffs, compared.errors, compared.pairs))

@@ -28,6 +28,8 @@ DEFAULT_HANG_SECONDS = 120
 MAX_LINE_BYTES = 1024 * 1024
 NO_TIME_SECONDS = -10
 EARLIEST_VALID_TIME = "2000-01-01T00:00:00Z"
+# Samples of a check follow each other within a pause and two time limits; the next check starts a minute later or more.
+CHECK_GAP_SECONDS = 50
 DEFAULT_EVENT_TYPE = "alert"
 WEBHOOK_SOURCE = "trainning"
 METRICS_INTERVAL = "15 seconds"
@@ -45,6 +47,7 @@ WHITE_SPACE = ("\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u200
                "\u2028\u2029\u202f\u205f\u3000")
 THREAD_HEADER = r"(?s)Traceback for thread (\d+) \((.*?)\)"
 FRAME_LANGUAGE = "(Python) "
+FRAME_START = "(Python) File"
 NODE_LIST = r"nodes=\[([^\]]*?)\]"
 RANK_FILE = r"/rank(\d+)\.log$"
 

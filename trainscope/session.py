@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Of doubled names in a posted JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Session windows merge inside each map task before the shuffle, so one
     # very talkative rank sends a few rows per task instead of all its lines.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
@@ -45,9 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/trainscope/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder for one run, under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/trainscope/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run, under the application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_work(spark: SparkSession) -> bool:
+    """Delete what this application has stored; results that were not written elsewhere are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

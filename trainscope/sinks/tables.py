@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trainscope.operators.processes import process_counts
 from trainscope.operators.skew import spread_join
+from trainscope.operators.snapshots import pair_keys
 
 EVENTS_PER_FILE = 100_000
 
@@ -19,11 +20,11 @@ def event_day(timestamp_ms: Column | str) -> Column:
 def append_events(events: DataFrame, path: str, rows_per_file: int = EVENTS_PER_FILE) -> None:
     """Add events to a Parquet store by day.
 
-    Rows are sorted by time inside each task, so row group bounds are narrow and
-    a time filter skips most of a day; a day may be written by any number of tasks.
+    Rows are dealt out by time, so a day is written by the few tasks whose range it falls into and each file has
+    narrow bounds; a day with most of the events is written by many.
     """
     stored = events.withColumn("event_date", event_day("timestamp"))
-    (stored.sortWithinPartitions("event_date", "timestamp").write.mode("append")
+    (stored.repartitionByRange("event_date", "timestamp").sortWithinPartitions("event_date", "timestamp").write.mode("append")
      .partitionBy("event_date").option("maxRecordsPerFile", rows_per_file).parquet(path))
 
 
@@ -41,14 +42,25 @@ def write_rank_logs(merged: DataFrame, path: str, job: str, rank: str | None = N
      .write.mode("append").partitionBy("job", "selection").json(path))
 
 
-def write_process_snapshots(snaps: DataFrame, verdicts: DataFrame, path: str) -> None:
-    """Snapshots by node and verdict, one process per line, with the sample's count."""
+def write_process_snapshots(snaps: DataFrame, verdicts: DataFrame, path: str, samples: DataFrame | None = None) -> None:
+    """Snapshots by node and verdict, one process per record, with its sample's count.
+
+    Records are set apart by blank lines and name their node and sample, so ``read_snapshots`` gives back the
+    same tables.  With ``samples``, those without processes are written as records without a pid.
+    """
+    keys = pair_keys(snaps)
     counts = process_counts(snaps).withColumnRenamed("total_processes", "total_count")
     # Both sides have one row per node and sample; the count joins there first.
-    facts = counts.join(verdicts.select("node", "snapshot_no", "verdict"), ["node", "snapshot_no"], "left")
+    facts = counts.join(verdicts.select(*keys, "verdict"), keys, "left")
     facts = facts.withColumn("verdict", F.coalesce("verdict", F.lit("first")))
-    (spread_join(snaps, facts, ["node", "snapshot_no"], ["pid"])
-     .write.mode("append").partitionBy("node", "verdict").json(path))
+    rows = spread_join(snaps, facts, keys, ["pid"])
+    if samples is not None:
+        bare = samples.join(counts.select(*keys), keys, "left_anti").join(verdicts.select(*keys, "verdict"), keys, "left")
+        rows = rows.unionByName(bare.select(*keys, "snapshot_time", F.coalesce("verdict", F.lit("first")).alias("verdict"),
+                                            F.lit(0).cast("bigint").alias("total_count")), allowMissingColumns=True)
+    if "check_id" not in keys:
+        rows = rows.withColumn("check_id", F.lit(""))
+    (rows.withColumn("node_name", F.col("node")).write.mode("append").partitionBy("node", "verdict").option("lineSep", "\n\n").json(path))
 
 
 def write_alert_messages(messages: DataFrame, path: str) -> None:

@@ -55,11 +55,14 @@ def parse_event_payloads(df: DataFrame, column: str) -> DataFrame:
             .withColumn("severity", F.lit(0)))
 
 
+def payload_columns(parsed: DataFrame) -> DataFrame:
+    """Parsed payloads with ``id`` and ``timestamp`` in the columns of an event."""
+    return parsed.select(
+        "id", "source", "type", F.lit("").alias("job_id"), "message", F.col("timestamp").cast("bigint").alias("timestamp"), "severity",
+        F.lit(None).cast("variant").alias("metadata"), F.lit(False).alias("processed"), F.lit(0).cast("bigint").alias("processed_at"))
+
+
 def payload_events(df: DataFrame, column: str, now_ms: int | Column, new_id: Column) -> DataFrame:
     """Complete event rows of the good payloads."""
     good = parse_event_payloads(df.withColumn("id", new_id), column).filter("not rejected")
-    return good.select(
-        "id", "source", "type", F.lit("").alias("job_id"), "message",
-        F.lit(now_ms).cast("bigint").alias("timestamp"), "severity",
-        F.lit(None).cast("variant").alias("metadata"), F.lit(False).alias("processed"),
-        F.lit(0).cast("bigint").alias("processed_at"))
+    return payload_columns(good.withColumn("timestamp", F.lit(now_ms)))

@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trainscope.functions.logs import _lookup
-from trainscope.schemas import PROCESS_TYPES
+from trainscope.schemas import CHECK_GAP_SECONDS, PROCESS_TYPES
+from trainscope.session import stored
 
 # Both spellings of each key: camel case with type names, snake case with numbers.
 _THREAD = ("struct<thread_id:int,threadId:int,thread_name:string,threadName:string,"
            "stack_frames:array<string>,stackFrames:array<string>>")
-_PROCESS = (f"struct<pid:int,ppid:int,type:string,threads:array<{_THREAD}>,rank:string,"
-            "local_rank:string,localRank:string>")
+_PROCESS_FIELDS = (f"pid:int,ppid:int,type:string,threads:array<{_THREAD}>,rank:string,"
+                   "local_rank:string,localRank:string")
+_PROCESS = f"struct<{_PROCESS_FIELDS}>"
+# A document is a sample, a list of samples, or one process of a sample that names the sample itself.
+_DOCUMENT = (f"struct<processes:array<{_PROCESS}>,lists:array<array<{_PROCESS}>>,{_PROCESS_FIELDS},node_name:string,check_id:string,"
+             "snapshot_no:int,snapshot_time:string,_corrupt_record:string>")
+# The name of a file, or of a folder above it: node, day, time, and the verdict that all but the first sample of a check have.
+_NAME = r"(?:.*[/=])?node([^/]+?)_processInfo_(?:(\d{4}-\d\d-\d\d)_(\d\d-\d\d-\d\d))?([^/]*)(?:/[^/]*)?\z"
+
+
+class Snapshots(NamedTuple):
+    """What saved snapshot files hold."""
+
+    processes: DataFrame  # node, path, check_id, snapshot_no, snapshot_time and the process
+    samples: DataFrame  # node, path, check_id, snapshot_no, snapshot_time, n_processes: every sample taken, empty ones too
+    rejects: DataFrame  # node, path, snapshot_time, content: documents that cannot be read, or only in part
 
 
 def _threads(threads: Column) -> Column:
@@ -31,35 +48,103 @@ def _process_columns(p: str) -> list[Column]:
         F.coalesce(f"{p}.local_rank", f"{p}.localRank", F.lit("")).alias("local_rank")]
 
 
-def read_process_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Processes of saved snapshot files, in either spelling.
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row a document.  Files are cut at blank lines where they lie, so a long file is read by many tasks."""
+    raw = spark.read.option("lineSep", "\n\n").option("recursiveFileLookup", "true").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    blocks = raw.select(F.col("_metadata.file_path").alias("path"), place.alias("at"), "value")
+    # Documents may also follow each other without a blank line: between the end of one and the start of the next is no comma.
+    pieces = F.split(F.trim("value"), r"(?<=[}\]])\s*\n\s*(?=[{\[])")
+    docs = blocks.select("path", "at", F.posexplode(pieces).alias("doc_no", "text")).withColumn("text", F.btrim("text", F.lit(" \r\n\t")))
+    is_list = F.col("text").startswith("[")
+    wrapped = F.when(is_list, F.concat(F.lit('{"lists":'), "text", F.lit("}"))).otherwise(F.col("text"))
+    return (docs.filter("text <> ''").withColumn("d", F.from_json(wrapped, _DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+            .withColumns({"node": F.nullif(F.regexp_extract("path", _NAME, 1), F.lit("")),
+                          "day": F.regexp_extract("path", _NAME, 2), "clock": F.translate(F.regexp_extract("path", _NAME, 3), "-", ":"),
+                          "suffix": F.regexp_extract("path", _NAME, 4)}))
+
 
-    A file holds one or more JSON documents, appended: objects with a list of
-    processes, or a list of such lists.  Node and ``snapshot_time`` stand in the
-    file's name (``node<node>_processInfo_<time>``).  ``snapshot_no`` counts the
-    samples of a node over its files, by time, then by place in the file; a file
-    whose name has no node is counted by itself, and without a time its
-    ``snapshot_time`` is empty.
+def _numbered(samples: DataFrame, gap_seconds: int) -> DataFrame:
+    """Adds ``check_id`` and ``snapshot_no`` to ``samples(node, path, snapshot_time, first, place...)``.
+
+    A node's samples in order of time; a check begins with a file that has no verdict in its name, and
+    after a pause of more than ``gap_seconds``.  The order is followed day by day: of each day only its last
+    sample and its last beginning are handed on, so no task sorts all samples of a node.
     """
-    files = (spark.read.text(path, wholetext=True)
-             .select(F.col("_metadata.file_path").alias("path"), "value"))
-    # Between the end of one document and the start of the next there is no comma.
-    pieces = F.split(F.trim("value"), r"(?<=[}\]])\s*\n\s*(?=[{\[])")
-    docs = files.select("path", F.posexplode(pieces).alias("doc_no", "doc")).filter("trim(doc) <> ''")
-    nested = docs.withColumn("samples", F.from_json("doc", f"array<array<{_PROCESS}>>"))
-    single = F.from_json("doc", f"struct<processes:array<{_PROCESS}>>")["processes"]
-    is_list = F.ltrim(F.col("doc")).startswith("[")
-    samples = F.when(is_list, F.col("samples")).otherwise(F.array(F.coalesce(
-        single, F.array().cast(f"array<{_PROCESS}>"))))
-    name = F.regexp_replace("path", r"\A.*/", "")
-    node = F.regexp_extract(name, r"\Anode(.+)_processInfo_", 1)
-    day, clock = (F.regexp_extract(name, r"_processInfo_(\d{4}-\d\d-\d\d)_(\d\d-\d\d-\d\d)", g) for g in (1, 2))
-    taken = (nested.select("path", "doc_no", F.posexplode(samples).alias("sample_no", "processes"))
-             .withColumns({"node": F.when(node != "", node),
-                           "snapshot_time": F.trim(F.concat_ws(" ", day, F.translate(clock, "-", ":")))}))
-    # Numbers come from the narrow list of samples, so stacks are not sorted.
-    place = ["path", "doc_no", "sample_no"]
-    order = Window.partitionBy(F.coalesce("node", "path")).orderBy("snapshot_time", *place)
-    numbers = taken.select(*place, (F.row_number().over(order) - 1).alias("snapshot_no"))
-    rows = taken.join(numbers, place).withColumn("p", F.explode("processes"))
-    return rows.select("node", "path", "snapshot_no", "snapshot_time", *_process_columns("p"))
+    order = ["snapshot_time", "path", "at", "doc_no", "sample_no"]
+    who = samples.withColumn("_who", F.coalesce("node", "path")).withColumn("_day", F.substring("snapshot_time", 1, 10))
+    seconds = F.unix_timestamp(F.expr("try_to_timestamp(nullif(snapshot_time, ''))"))
+    who = who.withColumn("_s", seconds)
+    days = who.groupBy("_who", "_day").agg(F.max("_s").alias("_last"))
+    earlier = Window.partitionBy("_who").orderBy("_day")
+    before = days.select("_who", "_day", F.lag("_last").over(earlier).alias("_before"))
+    in_day = Window.partitionBy("_who", "_day").orderBy(*order)
+    pause = F.col("_s") - F.coalesce(F.lag("_s").over(in_day), F.col("_before"))
+    begins = F.col("first") | (pause > gap_seconds)
+    # The first sample of a node begins a check in any case: there is none before it.
+    marked = who.join(before, ["_who", "_day"]).withColumn("_pause", pause).withColumn("_start", F.when(F.coalesce(begins, F.lit(False)), F.struct(*order)))
+    last = marked.groupBy("_who", "_day").agg(F.max("_start").alias("_end"), F.min(F.struct(*order)).alias("_first"))
+    so_far = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    handed = last.select("_who", "_day", F.last("_end", ignorenulls=True).over(so_far).alias("_handed"),
+                         F.min("_first").over(Window.partitionBy("_who")).alias("_very_first"))
+    here = F.last("_start", ignorenulls=True).over(in_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    start = F.coalesce(F.col("_here"), F.col("_handed"), F.col("_very_first"))
+    told = marked.withColumn("_here", here).join(handed, ["_who", "_day"]).withColumn("_from", start)
+    name = F.coalesce(F.nullif(F.col("_from.snapshot_time"), F.lit("")), F.col("_from.path"))
+    number = F.row_number().over(Window.partitionBy("_who", "_from").orderBy(*order)) - 1
+    return told.withColumn("check_id", name).withColumn("snapshot_no", number)
+
+
+def read_snapshots(spark: SparkSession, path: str, gap_seconds: int = CHECK_GAP_SECONDS) -> Snapshots:
+    """Processes, samples and rejects of saved snapshot files, in either spelling.
+
+    A file holds JSON documents, appended: objects with a list of processes, an object without one being an
+    empty sample; a list of such lists; or the records that ``write_process_snapshots`` writes, which name
+    their sample themselves.  Other samples have their node and ``snapshot_time`` from the name of the file or of a
+    folder above it (``node<node>_processInfo_<time>``); a file whose name has no node is a check by itself.
+
+    ``check_id`` is the time of a check's first sample, and ``snapshot_no`` counts its samples by time, then by place in
+    the file.  A blank line inside a document cuts it, which makes it a reject.  The documents are parsed
+    once and stored, so that samples, processes and rejects read columns and not text.
+    """
+    docs = _documents(spark, path)
+    single = F.col("d.node_name").isNotNull()
+    bad = F.col("d._corrupt_record").isNotNull() | F.col("d").isNull()
+    none = F.array().cast(f"array<{_PROCESS}>")
+    whole = F.when(F.col("d.lists").isNotNull(), F.col("d.lists")).otherwise(F.array(F.coalesce("d.processes", none)))
+    own = F.when(F.col("d.pid").isNull(), none).otherwise(F.array(F.struct(
+        *(F.col(f"d.{f.split(':')[0]}") for f in ("pid", "ppid", "type", "threads", "rank", "local_rank", "localRank")))))
+    samples = F.when(bad, F.array().cast(f"array<array<{_PROCESS}>>")).when(single, F.array(own)).otherwise(whole)
+    parsed = stored(docs.select(
+        "path", "at", "doc_no", F.coalesce(F.when(single, F.col("d.node_name")), F.col("node")).alias("node"),
+        F.when(single, F.col("d.snapshot_time")).otherwise(F.trim(F.concat_ws(" ", "day", "clock"))).alias("snapshot_time"),
+        F.when(single, F.struct(F.col("d.check_id").alias("check_id"), F.col("d.snapshot_no").alias("snapshot_no"))).alias("told"),
+        ((F.regexp_replace("suffix", r"\.json\z", "") == "") & (F.col("doc_no") == 0) & (F.col("at.block") == 0)).alias("first_document"),
+        samples.alias("samples"), F.transform(samples, lambda s: F.size(s)).alias("sizes"), F.when(bad, F.col("text")).alias("content")),
+        "snapshots")
+    place = ["path", "at", "doc_no", "sample_no"]
+    facts = parsed.filter("told is null").select("path", "at", "doc_no", "node", "snapshot_time", "first_document",
+                                                 F.posexplode("sizes").alias("sample_no", "n_processes"))
+    # Only the first document of a file can begin a check by its name; others were appended in the same second.
+    opening = facts.filter("first_document and sample_no = 0 and node is not null").groupBy("path").agg(F.min("at").alias("at"))
+    facts = facts.join(opening.withColumn("opens", F.lit(True)), ["path", "at"], "left").withColumn(
+        "first", F.coalesce("opens", F.lit(False)) & F.col("first_document") & (F.col("sample_no") == 0))
+    numbered = stored(_numbered(facts, gap_seconds).select(
+        "node", *place, "check_id", "snapshot_no", "snapshot_time", "n_processes"), "samples")
+    rows = (parsed.filter("told is null").select("path", "at", "doc_no", F.posexplode("samples").alias("sample_no", "processes"))
+            .join(numbered.select(*place, "node", "check_id", "snapshot_no", "snapshot_time"), place))
+    records = parsed.filter("told is not null").select("path", "node", "told.check_id", "told.snapshot_no", "snapshot_time",
+                                                       F.get("samples", F.lit(0)).alias("processes"), F.get("sizes", F.lit(0)).alias("n_processes"))
+    head = ["node", "path", "check_id", "snapshot_no", "snapshot_time"]
+    processes = (rows.select(*head, F.explode("processes").alias("p")).unionByName(records.select(*head, F.explode("processes").alias("p")))
+                 .select(*head, *_process_columns("p")))
+    # The records of a sample lie in several files, so it has the first of them for path.
+    taken = numbered.select(*head, "n_processes").unionByName(
+        records.groupBy("node", "check_id", "snapshot_no").agg(F.min("path").alias("path"), F.max("snapshot_time").alias("snapshot_time"),
+                                                                F.sum("n_processes").cast("int").alias("n_processes")).select(*head, "n_processes"))
+    return Snapshots(processes, taken, parsed.filter("content is not null").select("node", "path", "snapshot_time", "content"))
+
+
+def read_process_snapshots(spark: SparkSession, path: str, gap_seconds: int = CHECK_GAP_SECONDS) -> DataFrame:
+    """The processes of ``read_snapshots``."""
+    return read_snapshots(spark, path, gap_seconds).processes

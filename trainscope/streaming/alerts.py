@@ -8,8 +8,9 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from trainscope.operators.events import EventFilter, filter_events, marks_for
 from trainscope.schemas import DEFAULT_EVENT_TYPE
+from trainscope.session import stored
 from trainscope.sinks.tables import event_day
-from trainscope.sources.events import payload_events
+from trainscope.sources.events import parse_event_payloads, payload_columns, payload_events
 
 
 def stream_alerts(events: DataFrame, min_severity: int = 0, lateness: str | None = None) -> DataFrame:
@@ -57,3 +58,21 @@ def write_marks(returned: DataFrame, ledger_path: str, checkpoint: str, now_ms:
         marks_for(batch, now_ms, batch_id).write.mode("overwrite").parquet(f"{ledger_path}/stream_id={stream_id}/batch_id={batch_id}")
 
     return returned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
+
+
+def write_ingest(raw: DataFrame, column: str, position: list[Column | str], arrival_ms: Column, store: str, rejects: str,
+                 checkpoint: str) -> DataStreamWriter:
+    """Posted payloads into the event store, and those that are bad into a table of rejects.
+
+    Both come from one reading of a batch.  An event's time is its message's ``arrival_ms``, an expression over the
+    source's columns.  Rejects keep the payload, its id and its time.  Each batch owns one folder of the store and one
+    of the rejects, so a batch that is run again replaces what it wrote.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        parsed = parse_event_payloads(batch.withColumn("id", payload_id(column, *position)).withColumn("timestamp", arrival_ms.cast("bigint")), column)
+        parsed = stored(parsed.select("id", "timestamp", "rejected", "message", "source", "type", "severity", F.col(column).alias("payload")), "payloads")
+        good = payload_columns(parsed.filter("not rejected")).withColumn("event_date", event_day("timestamp"))
+        good.write.mode("overwrite").partitionBy("event_date").parquet(f"{store}/batch_id={batch_id}")
+        parsed.filter("rejected").select("id", "timestamp", "payload").write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+
+    return raw.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
