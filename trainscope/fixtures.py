@@ -24,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(keys: DataFrame, by: str) -> DataFrame:
+    """The narrow keys over all cores, before texts are made from them: a driver table is one row group, so one task."""
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, by)
+
+
 def as_utc(column: str):
     """Source times carry no zone and mean UTC."""
     return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast({column} as timestamp_ntz))"))
@@ -92,7 +97,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     node_no = "(o_orderkey % 8)"
     # On node 7 some processes end before the last sample.
     lives = F.expr(f"explode(sequence(0, case when {node_no} = 7 and o_orderkey % 100 = 7 then 3 else 4 end))")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     base = (orders.select("o_orderkey", "o_custkey", lives.alias("snapshot_no"))
             .withColumn("node", F.expr(f"concat('node', {node_no})"))
             .withColumn("rank_no", F.expr("(o_orderkey div 512) % 64")))
@@ -144,7 +149,8 @@ def check_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.array(F.concat(F.lit('File "mod'), F.col("o_custkey") % 97, F.lit('.py", line '), F.col("c") * 100 + 1),
                      F.concat(F.lit('File "step.py", line '), F.when((k % 3 == 0) & (F.col("o_orderkey") % 11 == 0), F.col("s")).otherwise(0)))
     thread = F.struct(F.lit(1).alias("threadId"), F.lit("main").alias("threadName"), frames.alias("stackFrames"))
-    return (table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 24).alias("k"))
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return (orders.withColumn("k", F.col("o_orderkey") % 24)
             .withColumn("c", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("s", F.explode(F.array(*map(F.lit, range(3)))))
             .select("c", "s", "k", F.concat(F.lit("nodegpu"), k, F.lit("_processInfo_2024-01-31_"), F.translate(clock, ":", "-"),
                                             F.when(marked, "_noDiff").otherwise("")).alias("file"),
@@ -180,14 +186,14 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = 'The frame stack for thread 1 is empty\n    (Python) File "early.py", line 1, in f\n'
     body = F.concat(*[part for k in range(1, 5) for part in frame(k)])
     dump = F.concat(F.lit(note), F.concat_ws("\n", *[thread(t) for t in range(1, 4)]))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
     return (orders.withColumn("body", body)
             .select(F.concat(F.lit("node"), key % 8).alias("node"), key.alias("pid"), dump.alias("dump")))
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One launcher per node; each order is a trainer or a data worker."""
-    orders = (table(spark, sf_dir, "orders").select("o_orderkey")
+    orders = (dealt(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
               .select("o_orderkey", F.expr("cast(o_orderkey % 8 as int)").alias("node_no")))
     worker = F.col("o_orderkey") % 5 == 0
     environ = F.when(F.col("o_orderkey") % 37 == 0, F.lit("HOME=/root\0LOCAL_RANK=1")).otherwise(F.concat(

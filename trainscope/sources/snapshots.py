@@ -20,8 +20,10 @@ _PROCESS = f"struct<{_PROCESS_FIELDS}>"
 # A document is a sample, a list of samples, or one process of a sample that names the sample itself.
 _DOCUMENT = (f"struct<processes:array<{_PROCESS}>,lists:array<array<{_PROCESS}>>,{_PROCESS_FIELDS},node_name:string,check_id:string,"
              "snapshot_no:int,snapshot_time:string,_corrupt_record:string>")
-# The name of a file, or of a folder above it: node, day, time, and the verdict that all but the first sample of a check have.
-_NAME = r"(?:.*[/=])?node([^/]+?)_processInfo_(?:(\d{4}-\d\d-\d\d)_(\d\d-\d\d-\d\d))?([^/]*)(?:/[^/]*)?\z"
+# The name of a file, or of a folder above it: node, then day, time, and the verdict that all but the first sample of a check have.
+_NAME, _BETWEEN = r"[/=]node([^/]*_processInfo_[^/]*)", "_processInfo_"
+_DAY, _CLOCK = r"\A(\d{4}-\d\d-\d\d)_\d\d-\d\d-\d\d", r"\A\d{4}-\d\d-\d\d_(\d\d-\d\d-\d\d)"
+_TIME = r"\A(?:\d{4}-\d\d-\d\d_\d\d-\d\d-\d\d)?"
 
 
 class Snapshots(NamedTuple):
@@ -59,9 +61,10 @@ def _documents(spark: SparkSession, path: str) -> DataFrame:
     is_list = F.col("text").startswith("[")
     wrapped = F.when(is_list, F.concat(F.lit('{"lists":'), "text", F.lit("}"))).otherwise(F.col("text"))
     return (docs.filter("text <> ''").withColumn("d", F.from_json(wrapped, _DOCUMENT, {"columnNameOfCorruptRecord": "_corrupt_record"}))
-            .withColumns({"node": F.nullif(F.regexp_extract("path", _NAME, 1), F.lit("")),
-                          "day": F.regexp_extract("path", _NAME, 2), "clock": F.translate(F.regexp_extract("path", _NAME, 3), "-", ":"),
-                          "suffix": F.regexp_extract("path", _NAME, 4)}))
+            .withColumn("name", F.when(F.contains("path", F.lit(_BETWEEN)), F.regexp_extract("path", _NAME, 1)).otherwise(""))
+            .withColumn("rest", F.substring(F.col("name"), F.instr("name", _BETWEEN) + len(_BETWEEN), F.length("name")))
+            .withColumns({"node": F.nullif(F.substring_index("name", _BETWEEN, 1), F.lit("")), "day": F.regexp_extract("rest", _DAY, 1),
+                          "clock": F.translate(F.regexp_extract("rest", _CLOCK, 1), "-", ":"), "suffix": F.regexp_replace("rest", _TIME, "")}))
 
 
 def _numbered(samples: DataFrame, gap_seconds: int) -> DataFrame:
