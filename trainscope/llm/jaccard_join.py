@@ -178,44 +178,98 @@ class Signatures:
         return np.concatenate(out) if out else s[:0]
 
 
-_DOC = "doc_id long, uid long, n int, v long, signatures array<long>"
+_DOC = "doc_id long, uid long, n int, v long"
+#: Sets that a task remembers, so that copies in it are sent once; other copies are sent again and found equal later.
+SEEN = 1 << 16
 
 
 def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=8).digest()
 
 
-def _described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Size, digest and signatures of each document's set."""
-    signatures = Signatures(num, den)
-
+def _described(docs: DataFrame, k: int) -> DataFrame:
+    """Size and digest of each document's set."""
     def describe(batches):
         for batch in batches:
             for piece in pieces(batch):
-                size, digest, found = [], [], []
+                size, digest = [], []
                 for s in _piece_sets(piece, k):
                     size.append(len(s))
                     digest.append(_digest(s))
-                    found.append(signatures.of(s))
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("uid"), pa.array(size, pa.int32()), pa.array(np.frombuffer(b"".join(digest), np.int64)),
-                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(found))))],
-                    ["doc_id", "uid", "n", "v", "signatures"])
+                    [piece.column("doc_id"), piece.column("uid"), pa.array(size, pa.int32()), pa.array(np.frombuffer(b"".join(digest), np.int64))],
+                    ["doc_id", "uid", "n", "v"])
 
     return docs.mapInArrow(describe, _DOC)
 
 
+def _distinct(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """The digests and sets of each piece, without empty sets and those that this task has seen lately."""
+    seen: set[int] = set()
+    for batch in batches:
+        for piece in pieces(batch):
+            out = []
+            for s in _piece_sets(piece, k):
+                v = int.from_bytes(_digest(s), "little", signed=True)
+                if len(s) and v not in seen:
+                    seen.add(v)
+                    out.append((v, s))
+            yield out
+            if len(seen) > SEEN:
+                seen.clear()
+
+
+def _meetings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``(c, v)`` once for each signature that v shares with others, c being the least set that has it.
+
+    Signatures are sorted with their sets over all tasks, so all who share one lie next to each other: the first
+    is c, and nothing is held but the row before.  They are neither stored nor joined with anything.
+    """
+    signatures = Signatures(num, den)
+
+    def sign(batches):
+        for found in _distinct(batches, k):
+            own = [signatures.of(s) for _, s in found]
+            yield pa.RecordBatch.from_pydict({
+                "signature": pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *own]))),
+                "v": pa.array(np.repeat(np.array([v for v, _ in found], np.int64), [len(x) for x in own]) if own else np.zeros(0, np.int64))})
+
+    def meet(batches):
+        signature, first, last, alone = None, None, None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s, v = batch.column("signature").to_numpy(), batch.column("v").to_numpy()
+            again = np.zeros(len(s), bool)  # the same set once more
+            again[1:] = (s[1:] == s[:-1]) & (v[1:] == v[:-1])
+            again[0] = s[0] == signature and v[0] == last
+            s, v = s[~again], v[~again]
+            if not len(s):
+                continue
+            begins = np.ones(len(s), bool)
+            begins[1:] = s[1:] != s[:-1]
+            begins[0] = s[0] != signature
+            start = np.maximum.accumulate(np.where(begins, np.arange(len(s)), -1))
+            c = np.where(start >= 0, v[start], first if first is not None else 0)
+            before = np.append(alone, begins[:-1])  # the row before stood first, and has not been told yet
+            second = ~begins & before
+            signature, first, last, alone = s[-1], c[-1], v[-1], bool(begins[-1])
+            yield pa.RecordBatch.from_pydict({"c": pa.array(np.concatenate([c[~begins], c[second]])), "v": pa.array(np.concatenate([v[~begins], c[second]]))})
+
+    keyed = docs.select("text").mapInArrow(sign, "signature long, v long").repartition("signature").sortWithinPartitions("signature", "v")
+    return keyed.mapInArrow(meet, "c long, v long")
+
+
 def _set_rows(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``(v, shingles)`` of the wanted sets ``(v, uid)``, each built from one document that has it."""
+    """``(v, shingles)`` of the wanted sets ``(v, uid)``, built where a document lies that has it.
+
+    A set is built again where a repeated row of that document lies in another task.
+    """
     def build(batches):
-        for batch in batches:
-            for piece in pieces(batch):
-                rows = dict(zip(piece.column("v").to_pylist(), (s.tobytes() for s in _piece_sets(piece, k))))
-                yield pa.RecordBatch.from_pydict({"v": pa.array(rows.keys(), pa.int64()),
-                                                  "shingles": pa.array(rows.values(), pa.binary())})
+        for found in _distinct(batches, k):
+            yield pa.RecordBatch.from_pydict({"v": pa.array([v for v, _ in found], pa.int64()), "shingles": pa.array([s.tobytes() for _, s in found], pa.binary())})
 
-    return docs.select("uid", "text").join(wanted, "uid").dropDuplicates(["v"]).mapInArrow(build, "v long, shingles binary")
+    return docs.select("uid", "text").join(_few(wanted.select("uid")), "uid").select("text").mapInArrow(build, "v long, shingles binary")
 
 
 def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -225,6 +279,10 @@ def _search(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     def search(batches):
         for run in runs(batches, ["c", "block", "part"]):
+            at = run.column("v").to_numpy()
+            new = np.ones(len(at), bool)  # rows of a run are sorted by role and set, so copies of a set lie together
+            new[1:] = (at[1:] != at[:-1]) | (np.diff(run.column("role").to_numpy()) != 0)
+            run = run if new.all() else run.filter(pa.array(new))
             role, v, own = (run.column(c).to_pylist() for c in ("role", "v", "own"))
             sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
             asked = [i for i, r in enumerate(role) if r == 2] or list(range(len(role)))
@@ -247,7 +305,7 @@ def row_key() -> Column:
 
 
 def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """All documents as ``(doc_id, uid, n, v, signatures)``, and ``(v, root)`` of the sets that link.
+    """All documents as ``(doc_id, uid, n, v)``, and ``(v, root)`` of the sets that link.
 
     Documents with equal sets count once from here on; a set is named by a 64-bit digest.  Sets that
     link share a signature; all who share one meet under the smallest digest among them.  Of those who
@@ -259,15 +317,12 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", row_key())
-    told = stored(_described(docs, k, num, den), "jaccard-docs")
+    told = stored(_described(docs, k), "jaccard-docs")
     classes = told.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("rep"), F.min("uid").alias("uid"), F.max("n").alias("n"))
-    signed_ = told.select(F.explode("signatures").alias("signature"), "v")
-    shared = signed_.groupBy("signature").agg(F.min("v").alias("c"), F.max("v").alias("last")).where("c < last")
-    shared = stored(shared.select("signature", "c"), "jaccard-shared")
-    pairs = signed_.join(_few(shared), "signature").groupBy("c", "v").agg(F.count("*").alias("shared"))
+    pairs = _meetings(docs, k, num, den).groupBy("c", "v").agg(F.count("*").alias("shared"))
     met = stored(pairs.join(classes, "v").select("c", "v", "shared", "n", "uid"), "jaccard-met")
     wanted = stored(met.select("v", "uid").distinct(), "jaccard-wanted")
-    sets = stored(_set_rows(docs, _few(wanted), k), "jaccard-sets")
+    sets = _set_rows(docs, wanted, k)
 
     size = met.groupBy("c").agg(F.ceil(F.sum(F.col("n").cast("double")) / BLOCK).cast("int").alias("blocks"),
                                 F.max_by("v", F.struct("shared", "v")).alias("centre"))
@@ -276,7 +331,8 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = (placed.where("centre != v").select("c", "v", own.alias("block"), F.lit(1).alias("role"))
                .unionByName(placed.where("centre = v").select("c", "v", everywhere.alias("block"), F.lit(0).alias("role"))))
-    edges = stored(_search(members.withColumns({"part": F.lit(0), "own": F.col("v")}).join(sets, "v"), num, den), "jaccard-edges")
+    members = stored(members, "jaccard-members")
+    edges = stored(_search(sets.join(_few(members.withColumns({"part": F.lit(0), "own": F.col("v")})), "v"), num, den), "jaccard-edges")
     found = connected_components(edges)
 
     # Of centres with several blocks: whoever is not connected with the centre by now is searched everywhere.
@@ -292,7 +348,9 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
                                               F.pmod(F.xxhash64("v", F.lit(1)), F.col("parts")).cast("int").alias("part"))
         against = members.join(parts, "c").select("c", "v", "block", "role", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         every = against.unionByName(asked.select(against.columns)).join(root, "v", "left").withColumn("own", F.coalesce("root", "v"))
-        more = _search(every.join(sets, "v"), num, den)
+        every = stored(every, "jaccard-asked")
+        again = _set_rows(docs, wanted.join(every.select("v").distinct(), "v", "left_semi"), k)
+        more = _search(again.join(_few(every), "v"), num, den)
         root = stored(connected_components(edges.unionByName(more)), "jaccard-roots")
 
     return told, root
