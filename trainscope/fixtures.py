@@ -315,6 +315,25 @@ def save_rank_logs(spark: SparkSession, sf_dir: str, path: str) -> None:
         lines.select("rank_no", "line").mapInArrow(save(folder), "rank_no int").write.format("noop").mode("overwrite").save()
 
 
+def save_event_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """``event_store`` as JSON files by rank and day, ``{"events": [...]}``; those of rank 3 are cut short."""
+    fields = ("id", "source", "type", "job_id", "message", "timestamp", "severity", "processed", "processed_at")
+    one = event_store(spark, sf_dir).groupBy("path").agg(F.collect_list(F.struct(*fields)).alias("events"))
+    text = F.when(F.col("path").startswith("rank3_"), F.expr("left(text, length(text) - 5)")).otherwise(F.col("text"))
+    files = one.select("path", F.to_json(F.struct("events")).alias("text")).select("path", text.alias("text"))
+    system, inner = pyarrow.fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "/", path))
+
+    def write(batches):
+        system.create_dir(inner)
+        for batch in batches:
+            for name, body in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                with system.open_output_stream(f"{inner}/{name}.json") as out:
+                    out.write(body.encode())
+            yield batch.select(["path"])
+
+    files.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+
+
 def batches(spark: SparkSession, sf_dir: str, name: str, n: int, path: str) -> DataFrame:
     """A driver table as a stream of ``n`` batches that each hold rows of the whole time."""
     source = table(spark, sf_dir, name)
@@ -323,8 +342,20 @@ def batches(spark: SparkSession, sf_dir: str, name: str, n: int, path: str) -> D
     return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def closing_beat(spark: SparkSession, sf_dir: str, name: str, days: int, path: str) -> DataFrame:
-    """A stream of one time, so many days after the last one of the table."""
-    last = table(spark, sf_dir, name).agg((F.max(as_utc(TIMES[name])) + F.make_dt_interval(F.lit(days))).alias("ts"))
-    last.write.parquet(path)
-    return spark.readStream.schema(last.schema).parquet(path)
+def closing_beat(spark: SparkSession, sf_dir: str, name: str, days: int, path: str, batches: int = 1) -> DataFrame:
+    """A stream of times: in the last of its batches one that lies so many days after all of the table, before that the first."""
+    seen = table(spark, sf_dir, name).agg(F.min(as_utc(TIMES[name])).alias("first"), F.max(as_utc(TIMES[name])).alias("last"))
+    for _ in range(batches - 1):
+        seen.select(F.col("first").alias("ts")).write.mode("append").parquet(path)
+    last = seen.select((F.col("last") + F.make_dt_interval(F.lit(days))).alias("ts"))
+    last.write.mode("append").parquet(path)
+    return spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def expected_ranks(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """A stream of the ranks of all nodes with a start a month before the first event, rank 13 among them."""
+    start = table(spark, sf_dir, "events").agg(F.date_trunc("day", F.min(as_utc("ts")) - F.expr("interval 30 days")).alias("ts"))
+    ranks = rank_ranges(spark, sf_dir).select("node", F.explode(F.sequence("min_rank", "max_rank")).alias("n"))
+    due = ranks.select("node", F.concat(F.lit("RANK"), "n").alias("rank"), F.lit(start.first()["ts"]).alias("ts"))
+    due.coalesce(1).write.parquet(path)
+    return spark.readStream.schema(due.schema).parquet(path)

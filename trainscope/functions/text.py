@@ -88,6 +88,21 @@ def parse_time_bound(value: Column | str) -> Column:
             .when(plain, F.concat(dotted, F.lit("Z")).try_cast("timestamp")))
 
 
+def time_bounds(start: Column | str, end: Column | str, now_ms: Column | int) -> Column:
+    """``struct<start_ms, end_ms, reason>`` of two time texts.  Without a start it is 0, without an end ``now_ms``.
+
+    Empty and null texts are absent; for a text that is no time both numbers are NULL, with a reason.
+    """
+    first, last = (F.coalesce(_c(c), F.lit("")) for c in (start, end))
+    ms = lambda text: F.unix_millis(parse_time_bound(text))
+    # The texts of the reasons.
+    reason = (F.when((first != "") & ms(first).isNull(), F.lit("Invalid start time format"))
+              .when((last != "") & ms(last).isNull(), F.lit("Invalid end time format")))
+    low = F.when(first == "", F.lit(0).cast("bigint")).otherwise(ms(first))
+    high = F.when(last == "", F.lit(now_ms).cast("bigint")).otherwise(ms(last))
+    return F.struct(F.when(reason.isNull(), low).alias("start_ms"), F.when(reason.isNull(), high).alias("end_ms"), reason.alias("reason"))
+
+
 def extract_nodes(value: Column | str) -> Column:
     """Host names of a job description; NULL where it has no node list."""
     text = _c(value)

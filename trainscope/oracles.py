@@ -240,6 +240,19 @@ BODIES = {
           s.suspend_seconds, '2024-01-31T00:00:00Z' AS tail_time
         FROM silence s LEFT JOIN (SELECT e.* FROM entries e JOIN tails t ON e.line_no = t.line_no) e ON e.rank = s.rank
         GROUP BY s.node, s.rank, s.suspend_seconds""",
+    "rank_log_records": f"""
+        SELECT s.rank, coalesce(string_agg(coalesce(strftime(e.ts, {RFC}), '') || '|' || e.level || '|' || e.epoch || '|' || e.message, chr(10) ORDER BY e.line_no), '') AS entries,
+          s.suspend_seconds, '2024-01-31T00:00:00Z' AS tail_time, 'allrank' AS selection
+        FROM silence s LEFT JOIN (SELECT e.* FROM entries e JOIN tails t ON e.line_no = t.line_no) e ON e.rank = s.rank
+        GROUP BY s.rank, s.suspend_seconds""",
+    "event_files_read": f"SELECT {EVENT} FROM event_store WHERE NOT starts_with(path, 'rank3_')",
+    "event_files_rejected": "SELECT DISTINCT path FROM event_store WHERE starts_with(path, 'rank3_')",
+    "node_list": "SELECT DISTINCT node FROM event_store",
+    "parser_registry": """
+        SELECT rank, line_no, CASE WHEN free THEN 0 ELSE CASE level_text WHEN 'LOG_INFO' THEN 2 WHEN 'LOG_DEBUG' THEN 1
+            WHEN 'LOG_WARNING' THEN 3 WHEN 'LOG_ERROR' THEN 4 ELSE 0 END END AS level,
+          CASE WHEN free THEN '' ELSE CAST(epoch_no AS VARCHAR) END AS step
+        FROM log_text""",
     "rank_filter": "SELECT node, rank, line_no, line FROM log_text WHERE rank = 'RANK3'",
     "rank_compare": """
         SELECT id, CAST(rank_no AS BIGINT) AS number, CAST(sign(rank_no - job_no) AS INTEGER) AS sign FROM (
@@ -268,6 +281,12 @@ BODIES = {
     "time_bounds": f"""
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, {RFC}) WHEN 1 THEN strftime(o_orderdate, {RFC})
           WHEN 2 THEN strftime(o_orderdate - INTERVAL 8 HOUR, {RFC}) ELSE '' END AS bound FROM orders""",
+    "time_range": """
+        SELECT o_orderkey, CASE WHEN reason = '' THEN CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE ms END END AS start_ms,
+          CASE WHEN reason = '' THEN CASE WHEN o_orderkey % 5 = 0 THEN CAST(1706659200000 AS BIGINT) ELSE ms END END AS end_ms, reason
+        FROM (SELECT o_orderkey, epoch_ms(o_orderdate - CASE WHEN o_orderkey % 4 = 2 THEN INTERVAL 8 HOUR ELSE INTERVAL 0 HOUR END) AS ms,
+            CASE WHEN o_orderkey % 4 < 3 THEN '' WHEN o_orderkey % 3 <> 0 THEN 'Invalid start time format'
+              WHEN o_orderkey % 5 <> 0 THEN 'Invalid end time format' ELSE '' END AS reason FROM orders)""",
     "process_tree": "SELECT * FROM tree",
     "process_environ": """
         SELECT node, pid, CASE WHEN worker OR NOT has_rank THEN '' ELSE CAST(rank AS VARCHAR) END AS rank,
@@ -388,6 +407,15 @@ BODIES = {
             FROM (SELECT *, lag(ts) OVER (PARTITION BY rank ORDER BY ts, line_no) AS before FROM entries WHERE ts IS NOT NULL))
           GROUP BY ALL)
         WHERE last_line + INTERVAL 7201 SECOND <= (SELECT max(ts) FROM entries)""",
+    "stream_hang_batches": f"""
+        SELECT node, rank, strftime(last_line, {RFC}) AS last_line, CAST(lines AS BIGINT) AS lines FROM (
+          SELECT node, rank, session, max(ts) AS last_line, sum(line) AS lines FROM (
+            SELECT *, sum(CASE WHEN before IS NULL OR date_diff('second', before, ts) >= 7201 THEN 1 ELSE 0 END)
+              OVER (PARTITION BY rank ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING) AS session
+            FROM (SELECT *, lag(ts) OVER (PARTITION BY rank ORDER BY ts, line_no) AS before FROM (
+              SELECT node, rank, ts, line_no, 1 AS line FROM entries WHERE ts IS NOT NULL
+              UNION ALL SELECT node, rank, (SELECT date_trunc('day', min(ts) - INTERVAL 30 DAY) FROM events), -1, 0 FROM expected)))
+          GROUP BY ALL)""",
     "stream_alerts": """SELECT id, node, "timestamp", severity FROM event_store WHERE severity >= 1 AND type = 'alert' AND NOT processed""",
     "stream_ingest": """
         SELECT sha256('{"msg_type":"text","content":{"text":"' || event_type || '"}}' || chr(0) || event_id) AS id, 'trainning' AS source,

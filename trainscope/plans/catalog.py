@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trainscope import fixtures as X
 from trainscope.functions import events as FE
 from trainscope.functions import text as FT
+from trainscope.functions.parsers import parse_with, register_parser
 from trainscope.functions.stacks import parse_stack_dump
 from trainscope.operators import events as E
 from trainscope.operators import fleet as V
@@ -26,7 +27,8 @@ from trainscope.schemas import LEDGER_SCHEMA
 from trainscope.session import work_path
 from trainscope.sinks import tables as K
 from trainscope.sinks.event_index import read_event_index, read_matching_events, update_event_index
-from trainscope.sources.events import parse_event_payloads, read_event_store
+from trainscope.sources.events import parse_event_payloads, read_event_files, read_event_store, rejected_event_files
+from trainscope.sources.logs import read_node_list
 from trainscope.sources.snapshots import Snapshots, read_snapshots
 from trainscope.sources.tails import list_log_files, newest_run_files, read_tails, split_failed
 from trainscope.streaming import alerts as SA
@@ -116,6 +118,18 @@ def rank_logs_nested(spark, sf):
                          "suspend_seconds", "tail_time")
 
 
+@query
+def rank_log_records(spark, sf):
+    """Written as JSON records and read back; zero levels and epochs are left out of them."""
+    out = work_path(spark, "rank-logs")
+    K.write_rank_logs(log_report(X.log_lines(spark, sf), X.AS_OF), out, "job")
+    entry = "struct<timestamp:string,level:int,epoch:int,Message:string>"
+    records = spark.read.schema(f"rank string, entries array<{entry}>, suspend_seconds int, tail_time string, job string, selection string").json(out)
+    text = F.array_join(F.transform("entries", lambda e: F.concat_ws("|", e["timestamp"], F.coalesce(e["level"], F.lit(0)), F.coalesce(e["epoch"], F.lit(0)),
+                                                                     e["Message"])), "\n")
+    return records.select("rank", text.alias("entries"), "suspend_seconds", "tail_time", "selection")
+
+
 @query
 def rank_filter(spark, sf):
     return L.filter_rank_logs(X.log_lines(spark, sf), "RANK3").select("node", "rank", "line_no", "line")
@@ -198,6 +212,14 @@ def time_bounds(spark, sf):
         "o_orderkey", FT.format_rfc3339(FT.parse_time_bound("bound")).alias("bound"))
 
 
+@query
+def time_range(spark, sf):
+    texts = X.bound_texts(spark, sf)
+    start = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("bound"))
+    end = F.when(F.col("o_orderkey") % 5 != 0, F.col("bound"))
+    return texts.withColumn("b", FT.time_bounds(start, end, X.AS_OF_MS)).select("o_orderkey", "b.start_ms", "b.end_ms", F.coalesce("b.reason", F.lit("")).alias("reason"))
+
+
 # --- processes and stacks -------------------------------------------------------------
 
 @query
@@ -426,6 +448,37 @@ def event_store_day(spark, sf):
     return E.filter_events(read_event_store(spark, path), WINDOW).select(*_EVENT)
 
 
+@query
+def event_files_read(spark, sf):
+    path = work_path(spark, "event-files")
+    X.save_event_files(spark, sf, path)
+    return read_event_files(spark, path).select(*_EVENT)
+
+
+@query
+def event_files_rejected(spark, sf):
+    path = work_path(spark, "event-files")
+    X.save_event_files(spark, sf, path)
+    return rejected_event_files(spark, path).select(F.regexp_extract("path", r"([^/]*)\.json\z", 1).alias("path"))
+
+
+@query
+def node_list(spark, sf):
+    """A list with blank lines and white space around the names."""
+    path = work_path(spark, "nodes")
+    nodes = X.event_store(spark, sf).select("node").distinct()
+    nodes.select(F.concat(F.lit(" \t"), "node", F.lit(" ")).alias("value")).unionByName(nodes.select(F.lit("  ").alias("value"))).write.text(path)
+    return read_node_list(spark, path)
+
+
+@query
+def parser_registry(spark, sf):
+    """A parser of one's own beside those of the library."""
+    register_parser("step", lambda line: F.regexp_extract(line, r"\(Epoch (\d+)\)", 1))
+    lines = parse_with(parse_with(X.log_lines(spark, sf), "log", "line", "entry"), "step", "line", "step")
+    return lines.select("rank", "line_no", F.col("entry.level").alias("level"), "step")
+
+
 def _indexed_store(spark: SparkSession, sf: str) -> tuple[str, str]:
     """Two lots of events, indexed one after the other."""
     store, index = work_path(spark, "event-store"), work_path(spark, "event-index")
@@ -523,6 +576,15 @@ def stream_hang(spark, sf):
     return found.select("node", "rank", FT.format_rfc3339("last_line").alias("last_line"), "lines")
 
 
+@query
+def stream_hang_batches(spark, sf):
+    """Four mixed batches, ranks that are expected, and a beat that closes the last silences."""
+    lines = X.log_lines_of(X.batches(spark, sf, "events", 4, work_path(spark, "events")))
+    beat = X.closing_beat(spark, sf, "events", 90, work_path(spark, "beat"), 4)
+    found = _drain(stream_hang_detection(lines, "70 days", 7200, beat, X.expected_ranks(spark, sf, work_path(spark, "expected"))), "hang")
+    return found.select("node", "rank", FT.format_rfc3339("last_line").alias("last_line"), "lines")
+
+
 @query
 def stream_alerts(spark, sf):
     found = _drain(SA.stream_alerts(X.event_store_of(_stream(spark, sf, "events")), 1), "alerts")

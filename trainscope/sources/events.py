@@ -35,7 +35,8 @@ def read_event_files(spark: SparkSession, base: str, node_rank: int | str | None
 
 def rejected_event_files(spark: SparkSession, base: str, node_rank: int | str | None = None) -> DataFrame:
     """Files that ``read_event_files`` leaves out, also half-readable ones, with the number of events parsed."""
-    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null")
+    # Spark reads no file for its bad text alone, so the filter names the events too.
+    bad = _event_documents(spark, base, node_rank).filter("_corrupt_record is not null and coalesce(size(events), -1) >= -1")
     return bad.select("path", F.col("_corrupt_record").alias("content"), F.greatest(F.size("events"), F.lit(0)).alias("parsed"))
 
 

@@ -10,7 +10,7 @@ from trainscope.schemas import DEFAULT_HANG_SECONDS
 
 
 def stream_hang_detection(lines: DataFrame, lateness: str, threshold: int = DEFAULT_HANG_SECONDS,
-                          heartbeat: DataFrame | None = None) -> DataFrame:
+                          heartbeat: DataFrame | None = None, expected: DataFrame | None = None) -> DataFrame:
     """One row each time a rank has been silent for more than ``threshold`` seconds.
 
     Silence is measured in whole seconds and must exceed the threshold, so lines
@@ -19,18 +19,21 @@ def stream_hang_detection(lines: DataFrame, lateness: str, threshold: int = DEFA
     has passed its end.  ``lateness`` must cover the time by which files of one
     rank may arrive after those of another, or ranks seem silent that are not.
     ``heartbeat`` is a stream with a ``ts`` column that
-    moves the watermark when every rank is silent; it adds no rows.
+    moves the watermark when every rank is silent; it adds no rows.  ``expected`` is a stream of
+    ``node, rank, ts``: ranks that should speak from then on.  One that does not is silent since that time,
+    with 0 lines, also if it never speaks at all.
     """
     entry = log_entry("line")
+    mark = lambda spoke, due: (F.lit(spoke).alias("spoke"), F.lit(due).alias("due"))
     spoken = (lines.select("node", "rank", entry.alias("e"))
-              .select("node", "rank", F.col("e.ts").alias("ts")).filter("ts is not null")
-              .withColumn("spoke", F.lit(1)))
+              .select("node", "rank", F.col("e.ts").alias("ts"), *mark(1, 0)).filter("ts is not null"))
     if heartbeat is not None:
-        beat = heartbeat.select(F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("rank"),
-                                F.col("ts"), F.lit(0).alias("spoke"))
-        spoken = spoken.unionByName(beat)
+        spoken = spoken.unionByName(heartbeat.select(F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("rank"),
+                                                     "ts", *mark(0, 0)))
+    if expected is not None:
+        spoken = spoken.unionByName(expected.select("node", "rank", "ts", *mark(0, 1)))
     session = F.session_window("ts", f"{threshold} seconds 999999 microseconds")
-    # The test is on a sum, not on the rank, so it cannot move below the watermark.
+    # The test is on sums, not on the rank, so it cannot move below the watermark.
     return (spoken.withWatermark("ts", lateness).groupBy("node", "rank", session)
-            .agg(F.max("ts").alias("last_line"), F.sum("spoke").alias("lines"))
-            .filter("lines > 0").select("node", "rank", "last_line", "lines"))
+            .agg(F.max("ts").alias("last_line"), F.sum("spoke").alias("lines"), F.sum("due").alias("due"))
+            .filter("lines > 0 or due > 0").select("node", "rank", "last_line", "lines"))
