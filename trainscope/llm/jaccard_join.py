@@ -19,8 +19,8 @@ from trainscope.llm.words import Words, grams, mix, pieces, runs, signed, words_
 
 #: Rows of two or three numbers that may be broadcast.
 BROADCAST_ROWS = 1 << 20
-#: Shingles in one block of documents that a task searches at a time.
-BLOCK = 1 << 17
+#: Shingles in one block of documents that a task searches at a time, some 50 bytes each; larger groups are searched block against block.
+BLOCK = 1 << 20
 #: Entries that a heap merges; it takes about a microsecond for each.
 HEAP = 64
 
