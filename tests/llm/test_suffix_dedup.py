@@ -53,6 +53,26 @@ def test_passages_against_brute_force(spark, seed, least):
     assert rows(got, "doc_id", "first_word", "end_word", "n_words") == brute(docs, least)
 
 
+@pytest.mark.parametrize("lot", [1, 7, 64])
+def test_keys_on_the_edge_of_lots(spark, lot):
+    """Keys that no lot holds whole take the shuffled path, with the same result."""
+    docs = corpus(3)
+    got = S.repeated_passages(documents(spark, [(d, t, "en", "a", 0) for d, t in docs]).repartition(3), 50, lot)
+    assert rows(got, "doc_id", "first_word", "end_word", "n_words") == brute(docs, 50)
+
+
+def test_a_passage_in_a_third_of_all_documents(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(70)]
+    docs = []
+    for d in range(300):
+        w = [f"v{rng.randrange(900)}" for _ in range(rng.randint(30, 90))]
+        at = rng.randrange(len(w))
+        docs.append((d, " ".join(w[:at] + passage[rng.randint(0, 9):] + w[at:] if d % 3 == 0 else w)))
+    got = S.repeated_passages(documents(spark, [(d, t, "en", "a", 0) for d, t in docs]).repartition(4), 50, 16)
+    assert rows(got, "doc_id", "first_word", "end_word", "n_words") == brute(docs, 50)
+
+
 def test_awkward_rows(spark):
     more = [*AWKWARD, (11, "x " * 60, "en", "a", 0), (None, "x " * 70, None, None, None), (7, "wörd " * 30000, "fr", "c", 150000)]
     got = S.repeated_passages(documents(spark, more, extra=True))
