@@ -1,9 +1,13 @@
 """Saved checks of process stacks: documents, samples, rejects, and what is compared with what."""
 
+import io
 import json
 
+from pyspark.sql import functions as F
+
 from trainscope.operators import snapshots as S
 from trainscope.sinks import tables as K
+from trainscope.sources import snapshots as R
 from trainscope.sources.snapshots import read_snapshots
 
 
@@ -108,3 +112,47 @@ def test_only_moved_stacks_are_fetched(spark, tmp_path):
     compared = S.compare_samples(tables.processes, tables.samples)
     assert sorted({r.pid for r in compared.moved.collect()}) == [7, 57, 107, 157] and S.moved_pairs(tables.processes, compared).count() == 8
     assert {r.pid for r in S.stack_diffs(tables.processes, compared=compared).collect()} == {7, 57, 107, 157}
+
+
+def test_long_documents_are_read_in_pieces(spark, tmp_path):
+    """A document longer than a row may be gives rows of some of its processes; a bad one is a reject as a whole."""
+    folder, many = tmp_path / "a", [process(i, f"a {{[,]}} \"q\" {i}" * 6) for i in range(30_000)]
+    whole = sample(*many)
+    save(folder, "n", "10-00-00", whole, "")
+    save(folder, "n", "10-00-05", sample(process(1, "x")) + "\n" + json.dumps([many, [], [process(2, "y")]]) + "\n" + sample(process(3, "z")))
+    save(folder, "m", "10-00-00", whole[:-9], "")
+    save(folder, "m", "10-00-05", whole.replace('"pid": 20000', '"pid": "one"'))
+    tables = read_snapshots(spark, str(folder))
+    assert R._documents(R._files(spark, str(folder))).agg(F.max(F.octet_length("text"))).first()[0] <= 2 * R.READ < len(whole)
+    assert sorted((r.node, r.snapshot_no, r.n_processes) for r in tables.samples.collect()) == [
+        ("n", 0, 30_000), ("n", 1, 1), ("n", 2, 30_000), ("n", 3, 0), ("n", 4, 1), ("n", 5, 1)]
+    got = tables.processes.groupBy("snapshot_no").agg(F.count_distinct("pid"), F.count_distinct(F.col("threads")[0].stack_frames[0]))
+    assert sorted(map(tuple, got.collect())) == [(0, 30_000, 30_000), (1, 1, 1), (2, 30_000, 30_000), (4, 1, 1), (5, 1, 1)]
+    texts = {}
+    for r in tables.rejects.orderBy("part").collect():
+        texts[r.snapshot_time] = texts.get(r.snapshot_time, "") + r.content
+    bad = (whole[:-9], whole.replace('"pid": 20000', '"pid": "one"'))
+    assert [texts[t].strip() for t in sorted(texts)] == [x.strip() for x in bad]
+
+
+def test_pieces_do_not_depend_on_ranges(monkeypatch):
+    """Each document comes once, whichever ranges and reads cut the file."""
+    monkeypatch.setattr(R, "PART", 40)
+    monkeypatch.setattr(R, "READ", 64)
+    docs = [json.dumps({"processes": [{"pid": i, "x": "]},{[\\\"" * (i % 3)} for i in range(n)], "totalCount": n}, indent=1 if n == 5 else None) for n in (0, 1, 9, 5, 30)]
+    docs += [json.dumps([[{"pid": 1}, {"pid": 2}] * 4, [], [{"pid": 3}] * 9]), '{"processes":[{"pid":1},' + '{"pid":2},' * 9 + "]}", '{"a":"' + "b" * 200]
+    for gaps in (["\n\n"] * 8, ["\n\n\n"] * 8, ["\n"] * 5 + ["\n\n"] * 3):
+        text = "".join(d + g for d, g in zip(docs, gaps)).encode()
+        for size in (1, 7, 50, 333, 5000):
+            got, lists = [], 0
+            for start in range(0, len(text), size):
+                for row, fresh, part, base, opening, closing, piece in R._read_range(io.BytesIO(text), start, min(start + size, len(text))):
+                    if part < 0:
+                        got += [x.strip() for x in R._BREAK.split(piece) if x.strip()]
+                    elif part == 0:
+                        got.append(piece.strip())
+                    else:
+                        got[-1] += piece.rstrip() if not closing else piece
+                    if part >= 0 and got[-1].startswith((docs[2][:40].encode(), b"[[")):
+                        json.loads(opening + (piece.decode().strip()[:-1] if closing else piece.decode()) + closing)
+            assert [x.decode().strip() for x in got] == docs, (gaps[0], size)
