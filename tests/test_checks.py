@@ -5,6 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from trainscope import fixtures as X
 from trainscope.operators import snapshots as S
 from trainscope.sinks import tables as K
 from trainscope.sources import snapshots as R
@@ -156,3 +157,11 @@ def test_pieces_do_not_depend_on_ranges(monkeypatch):
                     if part >= 0 and got[-1].startswith((docs[2][:40].encode(), b"[[")):
                         json.loads(opening + (piece.decode().strip()[:-1] if closing else piece.decode()) + closing)
             assert [x.decode().strip() for x in got] == docs, (gaps[0], size)
+
+
+def test_tasks_follow_the_rows_that_are_dealt(spark, monkeypatch):
+    """What one task makes, sorts and sends stays the same as the source table grows."""
+    monkeypatch.setattr(X, "DEALT", 100)
+    sizes = X.dealt(spark.range(2000), "id").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 20 and max(r["count"] for r in sizes) < 200
+    assert X.dealt(spark.range(5), "id").count() == 5
