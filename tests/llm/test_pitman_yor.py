@@ -3,10 +3,12 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from trainscope.llm import pitman_yor as P
 from trainscope.llm.common import fold
+from trainscope.llm.words import words_of
 
 from .helpers import AWKWARD, documents, split
 
@@ -82,3 +84,39 @@ def test_seating_follows_the_exact_distribution():
     got = Counter(P.seat(np.full(200_000, 5), np.full(200_000, weight), d, np.random.default_rng(1)).tolist())
     for t, p in exact.items():
         assert abs(got[t] / 200_000 - p / total) < 0.01
+
+
+def test_every_context_has_its_own_restaurant(spark):
+    """Words beyond the numbered ones, which once shared 1,024 restaurants by hash, predict only what follows them."""
+    held = {i: crc32(str(i).encode()) % 5 == 1 for i in range(20_000)}
+    ids = {out: iter([i for i in held if held[i] == out]) for out in (False, True)}
+    n, often = 1500, [f"often{i}" for i in range(P.LEAVES)]
+    first = [f"first{i}" for i in range(n)]
+    then = [often[i] if i % 2 else f"then{i}" for i in range(n)]
+    docs = [(next(ids[False]), " ".join(often[i:i + 1000])) for i in range(0, len(often), 1000) for _ in range(9)]
+    docs += [(next(ids[False]), f"{a} {b}") for a, b in zip(first, then) for _ in range(4)]
+    classes = {}
+    for i, h in enumerate(words_of(pa.array([" ".join(first)])).hash.tolist()):
+        classes.setdefault(((h >> 40) % 1024, i % 2), []).append(i)
+    pairs = [x[:2] for x in classes.values() if len(x) > 1]
+    own = [(next(ids[True]), f"{first[a]} {then[a]}") for a, _ in pairs]
+    other = [(next(ids[True]), f"{first[a]} {then[b]}") for a, b in pairs]
+    docs += own + other + [(next(ids[True]), "first1 unseen1 then2 unseen2")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = check(spark, docs, P.score_texts(rows, fold(F.col("doc_id"), 5) != 1).select("doc_id", "learned", *"n_tokens n_known train_tokens base_score score".split()))
+    score = {r[0]: r[6] for r in got}
+    assert len(pairs) > 100
+    assert np.mean([score[a[0]] - score[b[0]] for a, b in zip(own, other)]) > 2  # near 0 where both share a restaurant
+
+
+def test_whole_restaurants_sum_to_one():
+    rng = np.random.default_rng(5)
+    words, contexts = 30, 4
+    pairs = np.unique(rng.integers(0, words * contexts, 70))
+    shop = P.Restaurants(pairs, rng.integers(1, 100, len(pairs)), words, 1, contexts)
+    shop.given = rng.dirichlet(np.ones(words))
+    for _ in range(4):
+        shop.sweep(None)
+    assert (shop.leaf_t <= shop.leaf_c).all() and (shop.leaf_t >= 1).all()
+    for context in range(contexts):
+        assert abs(shop._now(np.arange(words) * contexts + context, shop.given, None).sum() - 1) < 1e-9
