@@ -563,7 +563,9 @@ def _bucketed(rows: DataFrame, name: str, buckets: int) -> DataFrame:
     """Rows dealt into ``buckets`` by part, stored so that joins by part need not move them again."""
     own = f"{name}_{uuid.uuid4().hex}"
     rows.write.format("parquet").bucketBy(buckets, "part").option("path", work_path(rows.sparkSession, name)).saveAsTable(own)
-    return rows.sparkSession.table(own)
+    dealt = rows.sparkSession.table(own)
+    rows.sparkSession.sql(f"DROP TABLE {own}")  # the files stay, as those of other stored results
+    return dealt
 
 
 def _with(dealt: DataFrame, told: DataFrame) -> DataFrame:
