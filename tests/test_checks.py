@@ -2,11 +2,16 @@
 
 import io
 import json
+import os
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from trainscope import fixtures as X
 from trainscope.operators import snapshots as S
+from trainscope.plans.catalog import QUERIES
+from trainscope.session import _own_dir, passing, stored, work_path
 from trainscope.sinks import tables as K
 from trainscope.sources import snapshots as R
 from trainscope.sources.snapshots import read_snapshots
@@ -165,3 +170,54 @@ def test_tasks_follow_the_rows_that_are_dealt(spark, monkeypatch):
     sizes = X.dealt(spark.range(2000), "id").groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 20 and max(r["count"] for r in sizes) < 200
     assert X.dealt(spark.range(5), "id").count() == 5
+
+
+def files_below(path):
+    return [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if not f.startswith((".", "_"))]
+
+
+def test_records_are_packed_in_files_of_bounded_length(spark, tmp_path):
+    """A record repeats its sample's names, so plain files took several times the space of the documents."""
+    folder = tmp_path / "a"
+    for s in range(2):
+        save(folder, "n", f"10-00-{5 * s:02d}", sample(*(process(p, f"frame {p}", "wait") for p in range(200))), "" if s == 0 else "_noDiff")
+    save(folder, "n", "10-00-10", sample())
+    tables, out, plain = read_snapshots(spark, str(folder)), str(tmp_path / "packed"), str(tmp_path / "plain")
+    found = S.sample_verdicts(tables.processes, tables.samples)
+    K.write_process_snapshots(tables.processes, found, out, tables.samples, rows_per_file=30)
+    K.write_process_snapshots(tables.processes, found, plain, tables.samples, compression="none")
+    assert sum(map(os.path.getsize, files_below(out))) < 0.3 * sum(map(os.path.getsize, files_below(plain)))
+    assert len(files_below(out)) >= 15 and all(f.endswith(".json.gz") for f in files_below(out))
+    for name in ("processes", "samples"):
+        rows = [sorted(map(str, getattr(t, name).drop("path").collect())) for t in (tables, read_snapshots(spark, out), read_snapshots(spark, plain))]
+        assert rows[0] and rows[0] == rows[1] == rows[2]
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in files_below(d.getPath()) if os.path.basename(f).startswith("shuffle_")}
+
+
+def test_what_passes_is_deleted(spark):
+    before = shuffle_files(spark)
+    with passing(spark):
+        one = stored(spark.range(1000).repartition(3).groupBy(F.col("id") % 5).count(), "one")
+        with pytest.raises(ZeroDivisionError), passing(spark):
+            two = stored(one, "two").inputFiles()
+            1 / 0
+        assert one.count() == 5 and not any(os.path.exists(f.removeprefix("file://")) for f in two)
+        files = one.inputFiles()
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert os.path.dirname(work_path(spark, "three")) == _own_dir(spark)
+    until = time.time() + 20  # files go a moment later
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+
+
+def test_check_verdicts_frees_what_it_no_longer_reads(spark):
+    """Documents, their rows and the first comparison are gone when the records are read back."""
+    before = set(os.listdir(_own_dir(spark))) if os.path.exists(_own_dir(spark)) else set()
+    assert QUERIES["check_verdicts"](spark, "/root/testdata/sf0.001").count() > 0
+    left = sorted(f.rsplit("-", 1)[0] for f in set(os.listdir(_own_dir(spark))) - before)
+    assert left == ["pair-errors", "pairs", "processes-of-pairs", "samples", "snapshots", "verdicts"]

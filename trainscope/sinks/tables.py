@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from trainscope.operators.processes import process_counts
 from trainscope.operators.skew import spread_join
 from trainscope.operators.snapshots import pair_keys
+from trainscope.session import stored
 
 EVENTS_PER_FILE = 100_000
+#: A packed file is read by one task from its beginning, so this bounds what a task reads.
+PROCESSES_PER_FILE = 50_000
 
 
 def event_day(timestamp_ms: Column | str) -> Column:
@@ -42,25 +45,30 @@ def write_rank_logs(merged: DataFrame, path: str, job: str, rank: str | None = N
      .write.mode("append").partitionBy("job", "selection").json(path))
 
 
-def write_process_snapshots(snaps: DataFrame, verdicts: DataFrame, path: str, samples: DataFrame | None = None) -> None:
+def write_process_snapshots(snaps: DataFrame, verdicts: DataFrame, path: str, samples: DataFrame | None = None,
+                            compression: str = "gzip", rows_per_file: int = PROCESSES_PER_FILE) -> None:
     """Snapshots by node and verdict, one process per record, with its sample's count.
 
     Records are set apart by blank lines and name their node and sample, so ``read_snapshots`` gives back the
-    same tables.  With ``samples``, those without processes are written as records without a pid.
+    same tables.  With ``samples``, those without processes are written as records without a pid.  Every record
+    repeats its sample's names and, in a hung job, stacks of its neighbours, so the files are packed, in a form that
+    ``read_snapshots`` and Spark's readers know; ``compression="none"`` leaves them plain.
     """
     keys = pair_keys(snaps)
+    verdicts = stored(verdicts.select(*keys, "verdict"), "verdicts-of-samples")
     counts = process_counts(snaps).withColumnRenamed("total_processes", "total_count")
-    # Both sides have one row per node and sample; the count joins there first.
-    facts = counts.join(verdicts.select(*keys, "verdict"), keys, "left")
-    facts = facts.withColumn("verdict", F.coalesce("verdict", F.lit("first")))
+    # Both sides have one row per node and sample; the count joins there first.  Stored, since Spark
+    # would shuffle all processes before it knows how few these rows are.
+    facts = stored(counts.join(verdicts, keys, "left").withColumn("verdict", F.coalesce("verdict", F.lit("first"))), "facts-of-samples")
     rows = spread_join(snaps, facts, keys, ["pid"])
     if samples is not None:
-        bare = samples.join(counts.select(*keys), keys, "left_anti").join(verdicts.select(*keys, "verdict"), keys, "left")
+        bare = samples.join(facts.select(*keys), keys, "left_anti").join(verdicts, keys, "left")
         rows = rows.unionByName(bare.select(*keys, "snapshot_time", F.coalesce("verdict", F.lit("first")).alias("verdict"),
                                             F.lit(0).cast("bigint").alias("total_count")), allowMissingColumns=True)
     if "check_id" not in keys:
         rows = rows.withColumn("check_id", F.lit(""))
-    (rows.withColumn("node_name", F.col("node")).write.mode("append").partitionBy("node", "verdict").option("lineSep", "\n\n").json(path))
+    (rows.withColumn("node_name", F.col("node")).write.mode("append").partitionBy("node", "verdict").option("lineSep", "\n\n")
+     .option("compression", compression).option("maxRecordsPerFile", rows_per_file).json(path))
 
 
 def write_alert_messages(messages: DataFrame, path: str) -> None:
