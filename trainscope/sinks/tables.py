@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from trainscope.operators.processes import process_counts
 from trainscope.operators.skew import spread_join
 from trainscope.operators.snapshots import pair_keys
-from trainscope.session import stored
+from trainscope.session import setting, stored
 
 EVENTS_PER_FILE = 100_000
 #: A packed file is read by one task from its beginning, so this bounds what a task reads.
 PROCESSES_PER_FILE = 50_000
+#: Files that a task has open at once; records of further nodes and verdicts are sorted.
+OPEN_FILES = 16
 
 
 def event_day(timestamp_ms: Column | str) -> Column:
@@ -67,8 +69,10 @@ def write_process_snapshots(snaps: DataFrame, verdicts: DataFrame, path: str, sa
                                             F.lit(0).cast("bigint").alias("total_count")), allowMissingColumns=True)
     if "check_id" not in keys:
         rows = rows.withColumn("check_id", F.lit(""))
-    (rows.withColumn("node_name", F.col("node")).write.mode("append").partitionBy("node", "verdict").option("lineSep", "\n\n")
-     .option("compression", compression).option("maxRecordsPerFile", rows_per_file).json(path))
+    # A task meets few nodes: with a file open for each, its records need not be sorted, which held or spilled them all.
+    with setting(rows.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        (rows.withColumn("node_name", F.col("node")).write.mode("append").partitionBy("node", "verdict").option("lineSep", "\n\n")
+         .option("compression", compression).option("maxRecordsPerFile", rows_per_file).json(path))
 
 
 def write_alert_messages(messages: DataFrame, path: str) -> None:
